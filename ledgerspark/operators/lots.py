@@ -60,7 +60,8 @@ def _prepare(df: DataFrame) -> DataFrame:
 def _positions(scan: Ordered) -> Ordered:
     """Clamped position and uncovered shares as a reflected running sum."""
     zero = F.lit(0).cast("decimal(38,9)")
-    scan.running(net=("sum", F.col("q")))
+    scan.running(net=("sum", F.col("q")), ledger_currency=("first", F.col("currency")))
+    scan.df = scan.df.drop("currency").withColumnRenamed("ledger_currency", "currency")
     scan.running(low=("min_before", F.col("net")))
     was_short = F.greatest(zero, -F.coalesce(F.col("low"), zero))
     is_short = F.greatest(zero, -F.least(F.coalesce(F.col("low"), zero), F.col("net")))

@@ -144,6 +144,8 @@ class Ordered:
             return F.min(x).over(self._asc(by).rowsBetween(_FIRST, -1))
         if kind == "max":
             return F.max(x).over(upto)
+        if kind == "first":
+            return F.first(x, ignorenulls=True).over(upto)
         if kind == "carry":
             return F.last(x, ignorenulls=True).over(upto)
         if kind == "next":
@@ -175,6 +177,8 @@ class Ordered:
             return F.min(x).over(back)
         if kind == "max":
             return F.max(x).over(back)
+        if kind == "first":
+            return F.first(x, ignorenulls=True).over(back)
         if kind == "next":
             return F.last(x, ignorenulls=True).over(ahead)
         return F.last(x, ignorenulls=True).over(back)
@@ -187,13 +191,15 @@ class Ordered:
             return F.least(local, before)
         if kind == "max":
             return F.greatest(local, before)
+        if kind == "first":
+            return F.coalesce(before, local)
         return F.coalesce(local, before)
 
     def running(self, **specs: tuple[str, Column]) -> "Ordered":
         """Add one column per spec, `name=(kind, value)`.
 
-        Kinds: sum, max, carry (last known value so far), next (first known
-        value from here on), min_before and lag (both without the current row;
+        Kinds: sum, max, first and carry (first and last known value so far),
+        next (first known value from here on), min_before and lag (both without the current row;
         `lag` expects values that are never NULL).
         """
         if not self.chunked:
