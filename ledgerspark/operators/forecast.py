@@ -18,35 +18,41 @@ MAX_LAG = 6
 MONTHS = 12
 
 
+def _keys(df: DataFrame) -> list[str]:
+    """Market data may be shared by all portfolios or be given per portfolio."""
+    return [c for c in LEDGER if c in df.columns]
+
+
 def seasonality(profile_rows: DataFrame, as_of: str, *, include_projected: bool = False) -> DataFrame:
-    """Share of the yearly amount per month of the ex date, one row per (ledger, month).
+    """Share of the yearly amount per month of the ex date, one row per instrument and month.
 
     Looks at the 365 days up to `as_of`, else at the last 365 days on record
     (then `stale`).  Payments are first added up per day, which bounds every
     later step by the calendar.
     """
     rows = profile_rows if include_projected else profile_rows.where("declared")
+    by = _keys(profile_rows)
     gap = cal.months_between("ex_date", "pay_date")
     lag = F.when(gap.between(0, MAX_LAG), gap)
-    daily = rows.where(F.col("ex_date").isNotNull()).groupBy(*LEDGER, "ex_date", lag.alias("lag")).agg(
+    daily = rows.where(F.col("ex_date").isNotNull()).groupBy(*by, "ex_date", lag.alias("lag")).agg(
         exact_sum("amount").alias("amount"), F.count(F.lit(1)).alias("n")
     )
     day = F.lit(as_of).cast("date")
     recent = (F.col("ex_date") > F.date_sub(day, 365)) & (F.col("ex_date") <= day)
-    per = W.partitionBy(*LEDGER)
+    per = W.partitionBy(*by)
     daily = daily.withColumns({"fresh": F.max(recent.cast("int")).over(per), "latest": F.max("ex_date").over(per)})
     end = F.when(F.col("fresh") == 1, day).otherwise(F.least(F.col("latest"), day))
     daily = daily.withColumn("window_end", end).where(
         (F.col("ex_date") > F.date_sub("window_end", 365)) & (F.col("ex_date") <= F.col("window_end"))
     )
-    shape = daily.groupBy(*LEDGER).agg(
+    shape = daily.groupBy(*by).agg(
         exact_sum("amount").alias("per_share_total"), F.sum("n").alias("payments"),
         F.coalesce(F.floor(F.percentile("lag", 0.5, F.when(F.col("lag").isNull(), 1).otherwise(F.col("n"))) + 0.5), F.lit(0)).cast("int").alias("lag_months"),
         (F.max("fresh") == 0).alias("stale"),
     ).where(~is_zero("per_share_total", 1e-12))
-    months = daily.groupBy(*LEDGER, cal.month_of_year("ex_date").alias("ex_month")).agg(exact_sum("amount").alias("month_amount"))
-    return months.join(shape, LEDGER).select(
-        *LEDGER, "ex_month", (F.col("month_amount") / F.col("per_share_total")).alias("weight"),
+    months = daily.groupBy(*by, cal.month_of_year("ex_date").alias("ex_month")).agg(exact_sum("amount").alias("month_amount"))
+    return months.join(shape, by).select(
+        *by, "ex_month", (F.col("month_amount") / F.col("per_share_total")).alias("weight"),
         "per_share_total", "payments", "lag_months", "stale",
     )
 
@@ -81,8 +87,8 @@ def estimated_items(
     kept = holdings.where(~F.col("excluded") & (F.col("quantity") > EPS_QTY)).select(
         *LEDGER, "quantity", F.col("currency").alias("holding_currency"), "trade_currency", "div_currency"
     )
-    payers = profiles.where("is_distributing").select(*LEDGER, F.col("currency").alias("profile_currency"))
-    rows = kept.join(payers, LEDGER).join(seasons, LEDGER).where(F.col("weight") > 0)
+    payers = profiles.where("is_distributing").select(*_keys(profiles), F.col("currency").alias("profile_currency"))
+    rows = kept.join(payers, _keys(profiles)).join(seasons, _keys(seasons)).where(F.col("weight") > 0)
     if withholding is not None:
         rows = rows.join(withholding.select(*LEDGER, "withholding_rate"), LEDGER, "left")
     else:
@@ -171,13 +177,13 @@ def totals(items_: DataFrame, portfolios: DataFrame, *, net: bool = False) -> Da
 def coverage(holdings: DataFrame, profiles: DataFrame, seasons: DataFrame, items_: DataFrame) -> DataFrame:
     """Forecast class of every open position, with stale and missing-rate flags."""
     kept = holdings.where(~F.col("excluded") & (F.col("quantity") > EPS_QTY)).select(*LEDGER)
-    shape = seasons.groupBy(*LEDGER).agg(F.bool_or("stale").alias("_stale"))
-    known = profiles.select(*LEDGER, F.lit(True).alias("_profile"), "is_distributing")
+    shape = seasons.groupBy(*_keys(seasons)).agg(F.bool_or("stale").alias("_stale"))
+    known = profiles.select(*_keys(profiles), F.lit(True).alias("_profile"), "is_distributing")
     seen = items_.groupBy(*LEDGER).agg(
         F.bool_or(F.col("basis") == "declared").alias("_accrual"),
         F.bool_or(F.col("gross_base").isNull() | F.col("net_base").isNull()).alias("_gap"),
     )
-    rows = kept.join(known, LEDGER, "left").join(shape, LEDGER, "left").join(seen, LEDGER, "left")
+    rows = kept.join(known, _keys(profiles), "left").join(shape, _keys(seasons), "left").join(seen, LEDGER, "left")
     accrual = F.coalesce("_accrual", F.lit(False))
     shaped = F.col("_profile").isNotNull() & F.col("_stale").isNotNull()
     kind = (

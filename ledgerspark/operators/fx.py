@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerspark.functions.numeric import finite
+from ledgerspark.operators.scan import cut_lineage
 
 MAX_STALE_DAYS = 10
 # Pivot currencies tried before all others.
@@ -116,7 +117,7 @@ def resolve_rates(
         .agg(F.min(F.struct("pref", "via", "rate", "rate_date")).alias("_b"))
         .select("src", "dst", "day", "_b.rate", "_b.rate_date", "_b.via")
     )
-    best = best.persist()
+    best = cut_lineage(best)
     return RateTable(best, best.count() <= broadcast_rows)
 
 

@@ -181,15 +181,16 @@ def ttm_from_statements(distributions: DataFrame, as_of: str, *, regular_only: b
 
 def ttm_from_profiles(profiles: DataFrame, profile_rows: DataFrame, as_of: str, *, include_projected: bool = False) -> DataFrame:
     """Trailing twelve months per share from a dividend profile, else its own stated figure."""
+    by = [c for c in LEDGER if c in profiles.columns]
     rows = profile_rows.where(trailing_year("ex_date", as_of))
     rows = rows if include_projected else rows.where("declared")
-    seen = rows.groupBy(*LEDGER).agg(
+    seen = rows.groupBy(*by).agg(
         exact_sum("amount").alias("_sum"), F.count(F.lit(1)).alias("payments"),
         F.min_by("currency", "ex_date").alias("_row_currency"),
     )
-    out = profiles.join(seen, LEDGER, "left").withColumn("_ttm", F.coalesce("_sum", F.col("ttm_per_share").cast("double")))
+    out = profiles.join(seen, by, "left").withColumn("_ttm", F.coalesce("_sum", F.col("ttm_per_share").cast("double")))
     return out.where(F.col("_ttm").isNotNull()).select(
-        *LEDGER, F.col("_ttm").alias("ttm_per_share"), F.coalesce("currency", "_row_currency").alias("currency"),
+        *by, F.col("_ttm").alias("ttm_per_share"), F.coalesce("currency", "_row_currency").alias("currency"),
         F.coalesce("payments", F.lit(0)).alias("payments"),
     )
 

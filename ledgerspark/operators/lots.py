@@ -91,24 +91,28 @@ def _average(scan: Ordered) -> Ordered:
     flat = F.col("held") <= F.lit(0)
     add = F.when(buy, F.col("q").cast("double") * F.col("unit") + F.col("fee")).otherwise(F.lit(0.0))
     shrink = F.when(sell & ~flat & (F.col("held_before") > 0), F.log(left)).otherwise(F.lit(0.0))
-    epochs = scan.refine(scan.df.withColumns({"add": add, "shrink": shrink}), ["epoch"])
-    epochs.running(depth=("sum", F.col("shrink")))
-    df = epochs.frame().withColumn("block", F.floor(-F.col("depth") / _BLOCK).cast("long"))
-    scaled = F.col("add") * F.exp(-(F.col("depth") + F.col("block") * _BLOCK))
-    df = df.withColumn("scaled", scaled)
+    scan.df = scan.df.withColumns({"add": add, "shrink": shrink})
+    # not reset per epoch: only differences inside an epoch are ever used
+    scan.running(depth=("sum", F.col("shrink")))
+    df = scan.frame().withColumn("block", F.floor(-F.col("depth") / _BLOCK).cast("long"))
+    df = df.withColumn("scaled", F.col("add") * F.exp(-(F.col("depth") + F.col("block") * _BLOCK)))
 
-    # total of the block just before, in its own scale
+    # running total inside the block, and the total of the block just before in its own scale
     group = scan.keys + ["epoch"]
+    blocks = scan.refine(df, ["epoch", "block"])
+    blocks.running(inside=("sum", F.col("scaled")))
+    out = blocks.frame()
     if scan.chunked:
         totals = df.groupBy(*group, "block").agg(F.sum("scaled").alias("carried"))
         totals = totals.withColumn("block", F.col("block") + 1)
-        df = df.join(totals, [*group, "block"], "left")
+        out = out.join(totals, [*group, "block"], "left")
     else:
-        previous = W.partitionBy(*group).orderBy("block").rangeBetween(-1, -1)
-        df = df.withColumn("carried", F.sum("scaled").over(previous))
-    blocks = scan.refine(df, ["epoch", "block"])
-    blocks.running(inside=("sum", F.col("scaled")))
-    out = blocks.frame()
+        # both windows need the row order `inside` already has, so nothing is sorted again
+        along = W.partitionBy(*group).orderBy("block", *scan.order)
+        at_start = F.when(F.lag("block").over(along) == F.col("block") - 1, F.lag("inside").over(along))
+        out = out.withColumn("before_block", at_start)
+        within = W.partitionBy(*group, "block").orderBy(*scan.order).rowsBetween(W.unboundedPreceding, 0)
+        out = out.withColumn("carried", F.first("before_block").over(within)).drop("before_block")
     grow = F.exp(F.col("depth") + F.col("block") * _BLOCK)
     carried = F.coalesce(F.col("carried"), F.lit(0.0)) * F.exp(F.lit(-_BLOCK))
     cost_held = F.when(flat, F.lit(0.0)).otherwise(grow * (F.col("inside") + carried))

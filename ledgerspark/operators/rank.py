@@ -38,14 +38,18 @@ def fold_other(
     Rows still sum to their bucket.  `order` puts named keys first; names that
     do not occur are ignored.
     """
-    total = df.groupBy(*scope, key).agg(exact_sum(value).alias("_total"))
-    place = F.array_position(F.lit(list(order)), F.col(key)) if order else F.lit(0)
-    first = F.when(place > 0, place) if order else F.lit(None).cast("long")
-    w = W.partitionBy(*scope).orderBy(first.asc_nulls_last(), F.col("_total").desc(), F.col(key))
+    # one row per cell first: everything after works on cells, not on facts
+    cells = df.groupBy(*scope, *bucket, key).agg(exact_sum(value).alias(value))
+    total = cells.groupBy(*scope, key).agg(exact_sum(value).alias("_total"))
+    if order:
+        place = F.nullif(F.array_position(F.lit(list(order)), F.col(key)), F.lit(0))
+    else:
+        place = F.lit(None).cast("long")
+    w = W.partitionBy(*scope).orderBy(place.asc_nulls_last(), F.col("_total").desc(), F.col(key))
     shown = total.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).select(*scope, key, "_rank")
-    named = df.join(shown, [*scope, key], "left")
+    marked = cells.join(shown, [*scope, key], "left")
     name = F.when(F.col("_rank").isNotNull(), F.col(key)).otherwise(F.lit(OTHER))
     return (
-        named.withColumn(key, name).groupBy(*scope, *bucket, key)
+        marked.withColumn(key, name).groupBy(*scope, *bucket, key)
         .agg(exact_sum(value).alias(value), F.coalesce(F.min("_rank"), F.lit(k + 1)).alias("rank"))
     )

@@ -204,6 +204,9 @@ class Ordered:
         """
         if not self.chunked:
             cols = {n: self._local(self.keys, k, x) for n, (k, x) in specs.items()}
+            if any(k == "next" for k, _ in specs.values()):
+                # the previous row is the following one of the reversed order: one sort for both
+                cols |= {n: F.lead(x).over(self._desc(self.keys)) for n, (k, x) in specs.items() if k == "lag"}
             self.df = self.df.withColumns(cols)
             return self
         by = self.keys + [_CHUNK]
