@@ -15,7 +15,7 @@ def _c(x) -> Column:
 def iso_date(x) -> Column:
     """Leading YYYY-MM-DD of a text as a date, else NULL."""
     x = _c(x)
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(x, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(x, 1, 10), "yyyy-MM-dd"))
 
 
 def days_between(a, b) -> Column:
