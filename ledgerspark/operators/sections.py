@@ -68,23 +68,40 @@ BALANCE_LABEL = r"(Starting|Ending) .* in [A-Z]{3}$"
 IN_CURRENCY = r"\bin ([A-Z]{3})$"
 
 
+# columns that take part in natural keys, kept in canonical form as well
+KEYED = [
+    "currency", "date_time", "date", "description", "quantity", "price", "amount", "subtitle", "ex_date", "pay_date", "gross_rate", "gross_amount", "tax", "fee",
+    "action_time", "proceeds", "value", "type", "direction", "xfer_account", "instruction", "report_date", "activity_date", "debit", "credit",
+]
+
+
 def _match_position(pattern: str) -> Column:
     return F.array_position(F.transform("header", lambda h: h.rlike(pattern)), True)
 
 
-def cell(name: str) -> Column:
+def _lookup(name: str) -> Column:
     """Text of the named column under the header bound to the row, '' when absent."""
     found = []
     for alias in COLUMNS[name]:
-        if alias.startswith("/"):
-            pattern = alias[1:-1].replace("\\/", "/")
-            at = _match_position(pattern)
-        else:
-            at = F.array_position("header", alias)
+        at = _match_position(alias[1:-1].replace("\\/", "/")) if alias.startswith("/") else F.array_position("header", alias)
         found.append(F.when(at > 0, F.coalesce(F.get("fields", (at + 1).cast("int")), F.lit(""))))
     return F.coalesce(*found, F.lit(""))
 
 
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Look every known column up once per row: `cells` holds texts, `canonicals` their comparable forms."""
+    rows = rows.withColumn("cells", F.struct(*[_lookup(n).alias(n) for n in COLUMNS]))
+    return rows.withColumn("canonicals", F.transform(F.array(*[F.col(f"cells.{n}") for n in KEYED]), lambda x: canon(x)))
+
+
+def cell(name: str) -> Column:
+    return F.col(f"cells.{name}")
+
+
+def canonical(name: str) -> Column:
+    return F.get("canonicals", F.lit(KEYED.index(name)))
+
+
 def trimmed(name: str) -> Column:
     return F.trim(cell(name))
 
@@ -121,7 +138,7 @@ def natural_key(instrument: Column) -> Column:
     `instrument` is the resolved key of the row's symbol.  Fields the broker
     restates between two cuts of the same fact are left out.
     """
-    c = lambda name: canon(cell(name))
+    c = canonical
     bucket = asset_bucket(cell("asset_category"))
     sym = F.when(trimmed("symbol") == "", "").otherwise(canon(F.coalesce(instrument, trimmed("symbol"))))
     section = F.col("section")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import derive, reconcile
 from ledgerspark.operators.scan import cut_lineage
-from ledgerspark.operators.sections import section_warnings
+from ledgerspark.operators.sections import section_warnings, with_cells
 from ledgerspark.sources import statements
 
 EVENT_TABLES = ("transactions", "distributions", "accrual_rows", "cash_events")
@@ -35,13 +35,14 @@ class Bundle:
 def derive_files(files: DataFrame) -> Bundle:
     """Parse and derive a batch; `files`: portfolio_id, path, text."""
     raw = statements.parse(files)
-    rows = cut_lineage(raw.rows.drop("raw_type"))  # read by every branch below
+    rows = cut_lineage(with_cells(raw.rows.drop("raw_type")))  # read by every branch below
     heads = cut_lineage(raw.files)
     ctx = derive.context(heads, rows)
     ctx.keyed = cut_lineage(ctx.keyed)
-    tx = derive.transactions(ctx)
+    tx = cut_lineage(derive.transactions(ctx))
     dist, lone = derive.distributions(ctx)
-    cash = derive.cash_events(ctx, lone)
+    dist = cut_lineage(dist)
+    cash = cut_lineage(derive.cash_events(ctx, lone))
     checks = reconcile.positions(ctx).unionByName(reconcile.cash(ctx, dist, cash)).unionByName(reconcile.accruals(ctx)).unionByName(reconcile.trades(ctx, tx))
     warned = raw.warnings.unionByName(section_warnings(rows)).unionByName(derive.trade_warnings(ctx))
     return Bundle(
