@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.numeric import exact_sum
-from ledgerspark.operators import forecast, fx, holdings, income, lots, rank, returns
+from ledgerspark.operators import forecast, fx, holdings, income, lots, quotes, rank, returns
 from ledgerspark.plans import adapters as A
 from ledgerspark.plans.oracle_views import sql
 from ledgerspark.plans.portfolio import Portfolio, Tables
@@ -41,7 +41,18 @@ def _rates(spark: SparkSession, sf: str) -> fx.RateTable:
     return fx.resolve_rates(A.fx_rates(spark, sf), BASES)
 
 
+_SHARED: dict[tuple[str, str], Portfolio] = {}
+
+
 def _portfolio(spark: SparkSession, sf: str) -> Portfolio:
+    """The composed view over one folder; its stages are computed once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SHARED:
+        _SHARED[key] = _compose(spark, sf)
+    return _SHARED[key]
+
+
+def _compose(spark: SparkSession, sf: str) -> Portfolio:
     t = A.trades(spark, sf)
     tables = Tables(
         transactions=t, positions=A.positions(t), instruments=A.instruments(t), quotes=A.quotes(spark, sf, t), overrides=A.overrides(t),
@@ -587,3 +598,46 @@ ORACLES["max_drawdown"] = _twr_sql(_EPISODES + """
 SELECT portfolio_id, round(coalesce(min(low / peak - 1), 0e0), 6) AS depth, count(low) AS episodes,
        CAST(max(coalesce(recovery_date, fin) - peak_date) FILTER (low IS NOT NULL) AS INT) AS longest_days
 FROM ep JOIN (SELECT portfolio_id, max(date) AS fin FROM ix GROUP BY 1) USING (portfolio_id) GROUP BY 1""")
+
+
+# --- market data ----------------------------------------------------------------------------
+
+@query("quote_gate", "", """
+WITH RECURSIVE f AS (SELECT user_id AS instrument_key, event_id AS seq, value AS price, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+g AS (SELECT instrument_key, seq, price, rn, true AS accepted, price AS state FROM f WHERE rn = 1
+  UNION ALL
+  SELECT f.instrument_key, f.seq, f.price, f.rn, abs(f.price / g.state - 1) <= 0.2e0, CASE WHEN abs(f.price / g.state - 1) <= 0.2e0 THEN f.price ELSE g.state END
+  FROM g JOIN f ON f.instrument_key = g.instrument_key AND f.rn = g.rn + 1)
+SELECT instrument_key, seq, round(price, 6) AS price, accepted FROM g""")
+def _(spark, sf):
+    return quotes.gate_sequence(A.quotes_feed(spark, sf)).select("instrument_key", "seq", *r6("price"), "accepted")
+
+
+@query("payment_frequency", "v_prof_rows", """
+SELECT instrument_key, CAST(arg_min(f, round(abs(ln(f / (365.25e0 / gap))), 12)) AS INT) AS frequency FROM (
+  SELECT instrument_key, median(gap) AS gap FROM (SELECT instrument_key, ex_date - lag(ex_date) OVER (PARTITION BY instrument_key ORDER BY ex_date) AS gap
+    FROM (SELECT DISTINCT instrument_key, ex_date FROM v_prof_rows)) WHERE gap IS NOT NULL GROUP BY 1), (VALUES (1e0), (2e0), (4e0), (6e0), (12e0), (52e0)) x(f)
+WHERE gap > 0 GROUP BY 1""")
+def _(spark, sf):
+    return quotes.payment_frequency(A.profile_rows(spark, sf), ["instrument_key"])
+
+
+@query("dominant_currency", "v_dist", """
+SELECT portfolio_id, currency FROM (SELECT portfolio_id, currency, row_number() OVER (PARTITION BY portfolio_id ORDER BY count(*) DESC, max(ex_date) DESC NULLS LAST, currency DESC) AS r
+FROM v_dist GROUP BY 1, 2) WHERE r = 1""")
+def _(spark, sf):
+    return quotes.dominant_currency(A.distributions(spark, sf), ["portfolio_id"])
+
+
+@query("dividend_profile", "v_prof_rows", """
+SELECT instrument_key, any_value(currency) AS currency, round(sum(amount) FILTER (ex_date > DATE '2001-08-01' - 365 AND ex_date <= DATE '2001-08-01'), 6) AS ttm_per_share, count(*) AS payments
+FROM v_prof_rows GROUP BY 1""")
+def _(spark, sf):
+    p = quotes.profile_from_rows(A.profile_rows(spark, sf), ["instrument_key"], A.AS_OF)
+    return p.select("instrument_key", "currency", *r6("ttm_per_share"), "payments")
+
+
+@query("price_unit", "", """
+SELECT p_partkey, CASE WHEN abs(p_size * 100e0 / 25e0 / 100e0 - 1) <= 0.1e0 THEN 'minor' WHEN abs(p_size * 100e0 / 25e0 - 1) <= 0.1e0 THEN 'major' ELSE 'unknown' END AS unit FROM part""")
+def _(spark, sf):
+    return A.table(spark, sf, "part").select("p_partkey", quotes.price_unit(F.col("p_size") * 100.0, F.lit(25.0)).alias("unit"))
