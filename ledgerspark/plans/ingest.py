@@ -51,6 +51,13 @@ def derive_files(files: DataFrame) -> Bundle:
     )
 
 
+def derive_transactions(files: DataFrame) -> DataFrame:
+    """Only the fills of a batch."""
+    raw = statements.parse(files)
+    rows = cut_lineage(with_cells(raw.rows.drop("raw_type")))
+    return derive.transactions(derive.context(cut_lineage(raw.files), rows)).drop("bucket")
+
+
 def new_files(files: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(files to load, outcome per file): exact and regenerated copies are left out.
 

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.numeric import exact_sum
-from ledgerspark.operators import forecast, fx, holdings, income, lots, quotes, rank, returns
+from ledgerspark.operators import dedupe, forecast, fx, holdings, income, lots, quotes, rank, returns
 from ledgerspark.plans import adapters as A
+from ledgerspark.plans import ingest
 from ledgerspark.plans.oracle_views import sql
 from ledgerspark.plans.portfolio import Portfolio, Tables
+from ledgerspark.sources import statements
+from ledgerspark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -641,3 +644,85 @@ def _(spark, sf):
 SELECT p_partkey, CASE WHEN abs(p_size * 100e0 / 25e0 / 100e0 - 1) <= 0.1e0 THEN 'minor' WHEN abs(p_size * 100e0 / 25e0 - 1) <= 0.1e0 THEN 'major' ELSE 'unknown' END AS unit FROM part""")
 def _(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", quotes.price_unit(F.col("p_size") * 100.0, F.lit(25.0)).alias("unit"))
+
+
+# --- streams --------------------------------------------------------------------------------
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = A.table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query("stream_quote_gate", "", ORACLES["quote_gate"])
+def _(spark, sf):
+    feed = _stream(spark, sf, "events").select(
+        F.col("user_id").alias("instrument_key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("as_of"),
+        F.col("value").alias("price"), F.lit("USD").alias("currency"), F.lit(None).cast("double").alias("statement_price"),
+    )
+    return jobs.drain(jobs.gate_quotes(feed), "gate").select("instrument_key", "seq", *r6("price"), "accepted")
+
+
+@query("stream_unique_events", "", "SELECT DISTINCT event_id AS id, user_id FROM events")
+def _(spark, sf):
+    e = _stream(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id")
+    return jobs.drain(jobs.unique_events(e.unionByName(e)), "unique")
+
+
+@query("stream_running_income", "", """
+SELECT o_custkey % 100 AS portfolio_id, strftime(o_orderdate, '%Y-%m') AS month, round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS gross, count(*) AS payments FROM orders GROUP BY 1, 2""")
+def _(spark, sf):
+    rows = _stream(spark, sf, "orders").select(
+        (F.col("o_custkey") % 100).alias("portfolio_id"), F.lit("USD").alias("currency"), F.col("o_orderdate").cast("date").alias("pay_date"),
+        F.col("o_totalprice").alias("gross"), F.lit(0.0).alias("tax"),
+    )
+    out = jobs.drain(jobs.running_income(rows), "income", "complete")
+    return out.select("portfolio_id", F.date_format("month", "yyyy-MM").alias("month"), F.col("gross").cast("decimal(18,2)").alias("gross"), "payments")
+
+
+# --- statements rendered from the tables and read back --------------------------------------
+
+def _statement_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One statement per block of 500 order keys, so a file's size does not grow with the data."""
+    li = A.table(spark, sf, "lineitem")
+    q = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("long")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    line = F.concat_ws(
+        ",", F.lit("Trades,Data,Order,Stocks"), F.lit("USD"), F.concat(F.lit("T"), (F.col("l_partkey") % 20).cast("string")),
+        F.concat(F.lit('"'), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(', 00:00:00"')), q.cast("string"),
+        (cents / F.lit(100)).cast("decimal(18,2)").cast("string"), F.lit("0,0"), F.lit("O"),
+    )
+    head = "Statement,Header,Field Name,Field Value\nStatement,Data,Period,2001\nAccount Information,Header,Field Name,Field Value\nAccount Information,Data,Base Currency,USD\n"
+    cols = "Trades,Header,DataDiscriminator,Asset Category,Currency,Symbol,Date/Time,Quantity,T. Price,Proceeds,Comm/Fee,Code\n"
+    block = F.floor(F.col("l_orderkey") / 500).cast("long")
+    files = li.select(block.alias("block"), line.alias("line")).groupBy("block").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    return files.select(
+        F.lit("default").alias("portfolio_id"), F.concat(F.lit("block"), F.col("block").cast("string")).alias("path"), F.concat(F.lit(head + cols), "lines").alias("text")
+    )
+
+
+@query("statement_trades", "", """
+SELECT 'T' || CAST(l_partkey % 20 AS VARCHAR) AS instrument_key, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity,
+       round(l_extendedprice, 2) AS price, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4""")
+def _(spark, sf):
+    """Parse, derive and count the fills of all statements; nothing is lost or doubled."""
+    tx = ingest.derive_transactions(_statement_files(spark, sf))
+    return tx.groupBy("instrument_key", "date", "quantity", F.round("price", 2).alias("price")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("statement_records", "", "SELECT CAST(floor(l_orderkey / 500) AS BIGINT) AS block, count(*) AS trades FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    files = statements.identify(_statement_files(spark, sf))
+    rows = statements.bind_headers(statements.records(files)).where((F.col("section") == "Trades") & (F.col("row_type") == "Data"))
+    names = files.select("file_id", F.substring("path", 6, 20).cast("long").alias("block"))
+    return rows.join(names, "file_id").groupBy("block").agg(F.count(F.lit(1)).alias("trades"))
+
+
+@query("occurrence_ids", "", """
+SELECT k AS key, CAST(n AS BIGINT) AS copies, substr(sha256(concat(k, chr(30), '0')), 1, 20) AS first_id FROM (
+  SELECT concat_ws(chr(31), 'cash', CAST(l_suppkey AS VARCHAR), CAST(CAST(l_shipdate AS DATE) AS VARCHAR)) AS k, count(*) AS n FROM lineitem GROUP BY 1)""")
+def _(spark, sf):
+    """Numbered copies of equal rows; a much-repeated key is numbered in parallel."""
+    li = A.table(spark, sf, "lineitem")
+    key = F.concat_ws("\u001f", F.lit("cash"), F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    rows = dedupe.number_copies(li.select(key.alias("key"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"), ["key"])
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min_by("id", "ordinal").alias("first_id"))
