@@ -160,7 +160,7 @@ def net_accruals(rows: DataFrame, within: list[str]) -> DataFrame:
     agg = rows.groupBy(*within, "instrument_key", "ex_date", "pay_date", "currency").agg(
         F.min_by("quantity", posted).alias("quantity"), F.min_by("gross_rate", at).alias("gross_rate"), F.min_by("rate_text", at).alias("rate_text"),
         round_up6(exact_sum("gross")).alias("gross"), round_up6(exact_sum("tax")).alias("tax"), exact_sum("net").alias("net0"),
-        F.array_sort(F.collect_set("row_id")).alias("source_row_ids"), F.array_sort(F.collect_set("file_id")).alias("file_ids"),
+        F.count(F.lit(1)).alias("postings"),
     )
     text = lambda d: F.coalesce(F.date_format(d, "yyyy-MM-dd"), F.lit(""))
     key = F.concat_ws(KEY_SEP, F.lit("accrual"), "instrument_key", text("ex_date"), text("pay_date"), "rate_text", "currency")

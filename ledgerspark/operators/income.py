@@ -45,10 +45,13 @@ def attributed(rows: DataFrame, unknown: str = UNATTRIBUTED) -> DataFrame:
     linked = F.col("instrument_key").isNotNull() & F.col("isin").isNotNull()
     link = rows.where(linked).groupBy("portfolio_id", "isin").agg(F.min_by("instrument_key", "id").alias("_linked"))
     # only rows without an instrument need the lookup
-    orphans = rows.where(F.col("instrument_key").isNull()).join(link, ["portfolio_id", "isin"], "left")
-    orphans = orphans.withColumn("group_key", F.coalesce(F.col("_linked").cast("string"), F.col("isin"), F.lit(unknown))).drop("_linked")
+    named = F.col("isin").isNotNull()
+    orphans = rows.where(F.col("instrument_key").isNull())
+    linked_rows = orphans.where(named).join(link, ["portfolio_id", "isin"], "left")
+    linked_rows = linked_rows.withColumn("group_key", F.coalesce(F.col("_linked").cast("string"), F.col("isin"))).drop("_linked")
+    nameless = orphans.where(~named).withColumn("group_key", F.lit(unknown))
     direct = rows.where(F.col("instrument_key").isNotNull()).withColumn("group_key", F.col("instrument_key").cast("string"))
-    return direct.unionByName(orphans)
+    return direct.unionByName(linked_rows).unionByName(nameless)
 
 
 def in_base(rows: DataFrame, settings: DataFrame, rates: fx.RateTable) -> DataFrame:

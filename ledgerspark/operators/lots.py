@@ -265,7 +265,8 @@ def total_gain(summary: DataFrame, price: Column) -> DataFrame:
 
 def quantity_as_of(transactions: DataFrame, dates: DataFrame) -> DataFrame:
     """Signed ledger quantity up to each (ledger, as_of) in `dates`."""
-    rows = replayable(transactions).select(*LEDGER, "date", "quantity")
+    # one row per day first: the join then carries days, not fills
+    rows = replayable(transactions).groupBy(*LEDGER, "date").agg(exact_sum("quantity").alias("quantity"))
     return (
         dates.join(rows, LEDGER, "left")
         .groupBy(*LEDGER, "as_of")

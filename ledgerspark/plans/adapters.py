@@ -172,7 +172,7 @@ def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = F.to_date("o_orderdate")
     rows = o.where(key % 4 != 3).select(
         key.alias("instrument_key"), ex.alias("ex_date"), F.date_add(ex, (F.col("o_orderkey") % 40).cast("int")).alias("pay_date"),
-        ((F.col("o_orderkey") % 100 + 1) / F.lit(100.0)).alias("amount"), _currency(key).alias("currency"),
+        ((F.col("o_orderkey") % 100 + 1) / F.lit(100.0) / F.lit(OFF_TIE)).alias("amount"), _currency(key).alias("currency"),
         (F.col("o_orderstatus") != "P").alias("declared"),
     )
     # key 4 stops paying years before the valuation date
@@ -195,7 +195,7 @@ def accruals(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = li.where(key % 5 == 2).groupBy(F.col("l_suppkey").alias("portfolio_id"), key.alias("instrument_key"), day.alias("ex_date")).agg(
         F.sum(F.col("l_quantity").cast("long")).alias("q")
     )
-    gross = F.col("q") / F.lit(100.0)
+    gross = F.col("q") / F.lit(100.0) / F.lit(OFF_TIE)
     return agg.select(
         "portfolio_id", "instrument_key", "ex_date", F.date_add("ex_date", 20).alias("pay_date"), _currency(F.col("instrument_key")).alias("currency"),
         F.col("q").cast("double").alias("quantity"), F.lit(0.01).alias("gross_rate"), gross.alias("gross"), (gross / 4.0).alias("tax"),

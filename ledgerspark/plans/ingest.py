@@ -63,7 +63,8 @@ def new_files(files: DataFrame, known: DataFrame | None) -> tuple[DataFrame, Dat
 
     Within a batch the first path wins.  `known`: portfolio_id, file_id, canonical_id.
     """
-    ids = statements.identify(files)
+    # decided on hashes; only the texts that are loaded travel
+    ids = statements.identify(files).select("portfolio_id", "path", "file_id", "canonical_id")
     best = ids.groupBy("portfolio_id", "canonical_id").agg(F.min("path").alias("_first"))
     best = best.join(ids.select("portfolio_id", "canonical_id", F.col("path").alias("_first"), F.col("file_id").alias("_kept")), ["portfolio_id", "canonical_id", "_first"])
     marked = ids.join(best, ["portfolio_id", "canonical_id"])
@@ -79,24 +80,31 @@ def new_files(files: DataFrame, known: DataFrame | None) -> tuple[DataFrame, Dat
         .when(F.col("_same") | later, "duplicate-regenerated").otherwise("new")
     )
     marked = marked.withColumn("outcome", outcome)
-    fresh = marked.where(F.col("outcome") == "new").select(*files.columns)
+    fresh = files.join(marked.where(F.col("outcome") == "new").select("path"), "path", "left_semi")
     return fresh, marked.select("portfolio_id", "path", "file_id", "canonical_id", "outcome")
 
 
 def merge_events(rows: DataFrame, imported: DataFrame) -> DataFrame:
-    """One row per content id: first import wins, all reporting files are kept.
+    """One row per content id: first import wins, with the number of files reporting it.
 
     `imported`: file_id, imported_at.  Copies of one row collapse in the map-side
-    part of the aggregation, so a much-repeated row does not travel whole.
+    part of the aggregation, so a much-repeated row does not travel whole.  The
+    files themselves are in `event_sources`.
     """
     by = ["portfolio_id", "id"]
     when = F.struct("imported_at", "file_id", "line_no")
     keep = [c for c in rows.columns if c not in (*by, "file_id", "line_no", "row_id")]
     tagged = rows.join(imported.select("file_id", "imported_at"), "file_id")
-    merged = tagged.groupBy(*by).agg(
-        F.min_by(F.struct(*keep), when).alias("r"), F.array_sort(F.collect_set("file_id")).alias("file_ids"), F.array_sort(F.collect_set("row_id")).alias("source_row_ids")
+    per_file = tagged.groupBy(*by, "file_id").agg(F.min(when).alias("at"), F.min_by(F.struct(*keep), when).alias("r"))
+    merged = per_file.groupBy(*by).agg(
+        F.min_by("r", "at").alias("r"), F.min_by("file_id", "at").alias("file_id"), F.count(F.lit(1)).alias("files")
     )
-    return merged.select(*by, "r.*", "file_ids", "source_row_ids").withColumn("superseded_at", F.lit(None).cast("timestamp"))
+    return merged.select(*by, "r.*", "file_id", "files").withColumn("superseded_at", F.lit(None).cast("timestamp"))
+
+
+def event_sources(rows: DataFrame) -> DataFrame:
+    """Provenance: every (event, file, raw row) that reported it, one row each."""
+    return rows.select("portfolio_id", "id", "file_id", "row_id").distinct()
 
 
 def merge_instruments(rows: DataFrame, imported: DataFrame) -> DataFrame:
@@ -132,7 +140,7 @@ def merge_accruals(rows: DataFrame, imported: DataFrame, *, parity: bool = False
     """
     if parity:
         per_file = derive.net_accruals(rows, ["portfolio_id", "file_id"]).withColumns({"line_no": F.lit(0), "row_id": F.col("file_id")})
-        return merge_events(per_file.drop("file_ids", "source_row_ids"), imported)
+        return merge_events(per_file, imported)
     at = F.struct("imported_at", "file_id", "line_no")
     keep = [c for c in rows.columns if c not in ("portfolio_id", "id")]
     tagged = rows.join(imported.select("file_id", "imported_at"), "file_id")
