@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.numeric import exact_sum, finite, is_zero, pct, sum_known
 from ledgerspark.operators import fx
 from ledgerspark.operators.lots import LEDGER, Ledger, quantity_as_of, replay
+from ledgerspark.operators.scan import cut_lineage
 
 QTY_TOLERANCE = 1e-6
 
@@ -117,7 +118,8 @@ def build(
     ledger: Ledger | None = None,
 ) -> DataFrame:
     """One row per (portfolio, instrument) seen in the ledger or in a snapshot."""
-    ledger = ledger or replay(transactions)
+    # the summary, the open lots and the sales all read the replayed rows
+    ledger = ledger or Ledger(cut_lineage(replay(transactions).rows))
     bases = settings.select("portfolio_id", "base_currency", F.col("cost_basis_method").alias("method"))
     led = ledger.summary().withColumn("in_ledger", F.lit(True)).withColumnRenamed("quantity", "ledger_quantity").withColumnRenamed("currency", "ledger_currency")
     snap = latest_positions(positions)

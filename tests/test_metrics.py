@@ -5,6 +5,7 @@ from helpers import d, one, rates, settings, tx
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import forecast, fx, holdings, income, rank, returns
+from ledgerspark.operators.scan import cut_lineage
 
 DIST = "portfolio_id string, instrument_key string, isin string, id string, pay_date date, ex_date date, currency string, gross double, tax double, net double, per_share double, description string, div_type string"
 
@@ -26,39 +27,50 @@ def build(spark, t, *, positions=None, quotes=None, overrides=None, base="USD",
     quo = spark.createDataFrame(quotes or [], "portfolio_id string, instrument_key string, price double, currency string, as_of timestamp, source string")
     ovr = spark.createDataFrame(overrides or [], "portfolio_id string, instrument_key string, display_symbol string, manual_price double, manual_price_currency string, excluded boolean")
     ins = spark.createDataFrame(instruments or [], "portfolio_id string, instrument_key string, symbol string, name string, asset_category string, aliases array<string>, trade_currency string, div_currency string, multiplier double")
-    return holdings.build(t, pos, ins, quo, ovr, settings(spark, base, method), book or no_rates(spark, base), as_of=as_of)
+    return cut_lineage(holdings.build(t, pos, ins, quo, ovr, settings(spark, base, method), book or no_rates(spark, base), as_of=as_of))
 
 
-def test_holding_priced_by_statement_then_quote_then_hand(spark):
-    t = tx(spark, [("2025-01-01", 10, 5)])
-    pos = [("p", "A", d("2025-05-31"), "K", "USD", 10.0, 6.0, 50.0)]
-    quo = [("p", "K", 7.0, "USD", dt.datetime(2025, 6, 1), "feed")]
-    ovr = [("p", "K", None, 8.0, None, False)]
-    h = [build(spark, t, positions=pos).first(), build(spark, t, positions=pos, quotes=quo).first(), build(spark, t, positions=pos, quotes=quo, overrides=ovr).first()]
-    assert [(x.price_source, x.market_value_base, x.unrealized_pnl_base) for x in h] == [("snapshot", 60, 10), ("quote", 70, 20), ("manual", 80, 30)]
-    assert h[0].weight_pct == 100 and not h[0].discrepancy
+@pytest.fixture(scope="module")
+def book_of_cases(spark):
+    """One portfolio with one instrument per case."""
+    t = None
+    for key, ccy in (("close", "USD"), ("quote", "USD"), ("hand", "USD"), ("gbp", "GBP"), ("option", "USD"), ("out", "USD")):
+        part = tx(spark, [("2025-01-01", 10, 5)], key=key, currency=ccy)
+        t = part if t is None else t.unionByName(part)
+    t = t.unionByName(tx(spark, [("2025-01-01", 10, 5), ("2025-06-10", -3, 6)], key="off"))
+    day = d("2025-05-31")
+    pos = [("p", "A", day, k, "USD", 10.0, 6.0, 50.0) for k in ("close", "quote", "hand")]
+    pos += [("p", "A", day, "snap", "USD", 4.0, 6.0, 20.0), ("p", "B", d("2025-05-30"), "snap", "USD", 1.0, 6.0, 5.0), ("p", "A", day, "off", "USD", 9.0, 6.0, 20.0)]
+    quo = [("p", k, 7.0, "USD", dt.datetime(2025, 6, 1), "feed") for k in ("quote", "hand", "option")]
+    ovr = [("p", "hand", None, 8.0, None, False), ("p", "out", None, 8.0, None, True)]
+    ins = [("p", "option", "OPT", "Option", "Options", [], "USD", None, 100.0)]
+    return build(spark, t, positions=pos, quotes=quo, overrides=ovr, instruments=ins)
 
 
-def test_unknown_stays_unknown(spark):
-    h = build(spark, tx(spark, [("2025-01-01", 10, 5)], currency="GBP")).first()
-    assert h.market_value is None and h.cost_basis_base is None and h.unpriced and h.missing_fx and h.weight_pct is None
-    t = holdings.totals(build(spark, tx(spark, [("2025-01-01", 10, 5)], currency="GBP"))).first()
-    assert (t.market_value_base, t.open_positions, t.cost_covered, t.aggregates_comparable) == (0, 1, 0, False)
+def test_price_precedence(book_of_cases):
+    h = {r.instrument_key: r for r in book_of_cases.collect()}
+    got = [(h[k].price_source, h[k].market_value_base, h[k].unrealized_pnl_base, h[k].discrepancy) for k in ("close", "quote", "hand")]
+    assert got == [("snapshot", 60, 10, False), ("quote", 70, 20, False), ("manual", 80, 30, False)]
 
 
-def test_multiplier_is_refused_and_exclusion_leaves_totals(spark):
-    ins = [("p", "K", "K", "K", "Options", [], "USD", None, 100.0)]
-    h = build(spark, tx(spark, [("2025-01-01", 10, 5)]), instruments=ins, quotes=[("p", "K", 7.0, "USD", dt.datetime(2025, 6, 1), "feed")])
-    assert h.first().market_value is None and h.first().unpriced
-    h = build(spark, tx(spark, [("2025-01-01", 10, 5)]), overrides=[("p", "K", None, 8.0, None, True)])
-    assert h.first().weight_pct is None and holdings.totals(h).first().market_value_base == 0
+def test_unknown_stays_unknown(book_of_cases):
+    h = {r.instrument_key: r for r in book_of_cases.collect()}
+    g = h["gbp"]
+    assert g.market_value is None and g.cost_basis_base is None and g.unpriced and g.missing_fx and g.weight_pct is None
+    assert h["option"].market_value is None and h["option"].unpriced
+    assert h["out"].weight_pct is None and h["out"].market_value_base == 80
 
 
-def test_snapshot_only_and_discrepancy(spark):
-    pos = [("p", "A", d("2025-05-31"), "S", "USD", 4.0, 6.0, 20.0), ("p", "B", d("2025-05-30"), "S", "USD", 1.0, 6.0, 5.0), ("p", "A", d("2025-05-31"), "K", "USD", 9.0, 6.0, 20.0)]
-    h = {r.instrument_key: r for r in build(spark, tx(spark, [("2025-01-01", 10, 5), ("2025-06-10", -3, 6)]), positions=pos).collect()}
-    assert (h["S"].quantity, h["S"].quantity_source, h["S"].cost_basis) == (5, "snapshot", 25)
-    assert (h["K"].check_ledger, h["K"].check_difference, h["K"].discrepancy) == (10, 1, True)
+def test_snapshot_only_and_discrepancy(book_of_cases):
+    h = {r.instrument_key: r for r in book_of_cases.collect()}
+    assert (h["snap"].quantity, h["snap"].quantity_source, h["snap"].cost_basis) == (5, "snapshot", 25)
+    assert (h["off"].check_ledger, h["off"].check_difference, h["off"].discrepancy) == (10, 1, True)
+
+
+def test_totals_and_coverage(book_of_cases):
+    t = holdings.totals(book_of_cases).first()
+    assert (t.market_value_base, t.open_positions, t.cost_covered, t.value_covered, t.aggregates_comparable) == (60 + 70 + 80 + 30 + 42, 7, 6, 5, False)
+    assert (t.unpriced, t.missing_fx, t.discrepancies) == (2, 1, 1)
 
 
 @pytest.mark.parametrize("method", ["FIFO", "AVERAGE"])
@@ -104,11 +116,11 @@ ACCRUALS = "portfolio_id string, instrument_key string, ex_date date, pay_date d
 
 
 def project(spark, accruals=(), rows=None):
-    h = build(spark, tx(spark, [("2025-01-01", 100, 5)]), as_of="2025-07-15")
+    h = spark.createDataFrame([("p", "K", 100.0, "USD", "USD", None, False)], "portfolio_id string, instrument_key string, quantity double, currency string, trade_currency string, div_currency string, excluded boolean")
     rows = rows or [("p", "K", d("2024-12-10"), d("2024-12-20"), 0.4, "USD", True), ("p", "K", d("2025-06-10"), d("2025-06-20"), 0.6, "USD", True)]
     pr = spark.createDataFrame(rows, PROFILE_ROWS)
     profiles = spark.createDataFrame([("p", "K", "USD", True)], "portfolio_id string, instrument_key string, currency string, is_distributing boolean")
-    items = forecast.items(h, spark.createDataFrame(list(accruals), ACCRUALS), profiles, pr, settings(spark), no_rates(spark), "2025-07-15")
+    items = cut_lineage(forecast.items(h, spark.createDataFrame(list(accruals), ACCRUALS), profiles, pr, settings(spark), no_rates(spark), "2025-07-15"))
     return h, profiles, pr, items
 
 
