@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, mixing, quality_rules
+from ledgerspark.llm import exact, mixing, near, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_report(_table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op8_minhash_near_dedup": op8_minhash_near_dedup}
 
 ORACLES = {
     "op1_exact_dedup": f"""
