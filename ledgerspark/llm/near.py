@@ -10,9 +10,9 @@
    on the full sets.  Components of the verified links are found by alternating large-star
    and small-star steps.
 4. A bucket whose nodes ended in different components may still hide a link that no star
-   tested.  There, each node outside the bucket's most common component is tested against
-   the bucket's nodes of other components, and components are found once more.  After that
-   every pair that shares a bucket is either tested or known to be connected.
+   tested.  There, the nodes outside the bucket's most common component meet all nodes of
+   the bucket in blocks, whose sets are compared exactly, and components are found once
+   more.  After that every pair that shares a bucket is tested or known to be connected.
 
 Nothing is capped, and no group is gathered in one task: buckets are joined, not collected,
 and copies of a set are cut before the shuffle and joins on hot keys can be split.
@@ -42,6 +42,8 @@ ROWS, BANDS = 6, 52
 HASHES = ROWS * BANDS
 #: Agreeing minima that a pair at the threshold has at least, but for one in a million.
 LEAST_AGREEING = int(HASHES * 0.75 - 5 * (HASHES * 0.75 * 0.25) ** 0.5)
+#: Nodes of a bucket that are compared at once.
+BLOCK = 128
 _CACHED_WORDS = 1_000_000
 
 _random = np.random.default_rng(20240607)
@@ -147,15 +149,19 @@ def _rows(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     return df.select(*more, F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
 
 
+def _sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(`_node`, `_shingles`) of the wanted nodes, made again from one text each."""
+    wanted = wanted.join(nodes.select("_node", "_id", "_hash"), "_node").select(F.col("_id").alias("_wid"), F.col("_hash").alias("_wh"))
+    chosen = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_wh")), "left_semi")
+    return chosen.select("_text").mapInArrow(_sets, "_node long, _shingles array<long>")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of nodes (`_u`, `_v`) whose full sets are similar enough."""
     sig = nodes.select("_node", "_sig")
     signed = pairs.join(sig.withColumnsRenamed({"_node": "_u", "_sig": "_a"}), "_u").join(sig.withColumnsRenamed({"_node": "_v", "_sig": "_b"}), "_v")
     likely = stage(signed.select("_u", "_v", "_a", "_b").mapInArrow(_agreeing, "_u long, _v long"), "likely-pairs")
-    wanted = likely.select(F.explode(F.array("_u", "_v")).alias("_node")).distinct()
-    wanted = wanted.join(nodes.select("_node", "_id", "_hash"), "_node").select(F.col("_id").alias("_wid"), F.col("_hash").alias("_wh"))
-    chosen = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_wid")) & (F.col("_hash") == F.col("_wh")), "left_semi")
-    sets = chosen.select("_text").mapInArrow(_sets, "_node long, _shingles array<long>")
+    sets = _sets_of(likely.select("_u").union(likely.select("_v")).select(F.col("_u").alias("_node")).distinct(), nodes, texts)
     both = likely.join(sets.withColumnsRenamed({"_node": "_u", "_shingles": "_a"}), "_u").join(sets.withColumnsRenamed({"_node": "_v", "_shingles": "_b"}), "_v")
     common = F.size(F.array_intersect("_a", "_b"))
     similar = both.withColumn("_common", common).where(100 * F.col("_common") >= SIMILARITY * (F.size("_a") + F.size("_b") - F.col("_common")))
@@ -199,6 +205,60 @@ def _with_component(rows: DataFrame, stars: DataFrame) -> DataFrame:
     return rows.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
 
 
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks of a bucket: for each node of the first, one to each other component of the second.
+
+    The sets of the second block lie end to end; one probe gives a node's overlap with all of them.
+    """
+    for batch in batches:
+        out_u, out_v = [], []
+        for some, others in zip(batch.column(0), batch.column(1), strict=True):
+            nodes, roots, sets, ends = _block(others)
+            sizes = np.diff(ends)
+            for node, root, mine in zip(*_members(some), strict=True):
+                at = np.minimum(np.searchsorted(mine, sets), len(mine) - 1)
+                common = np.add.reduceat((mine[at] == sets).astype(np.int64), ends[:-1])
+                hit = np.flatnonzero((100 * common >= SIMILARITY * (sizes + len(mine) - common)) & (roots != root))
+                _, one = np.unique(roots[hit], return_index=True)
+                out_u += [node] * len(one)
+                out_v += nodes[hit[one]].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["_u", "_v"])
+
+
+def _block(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, roots, sets end to end, and the borders of the sets."""
+    values = cell.values
+    sets = values.field("_shingles")
+    ends = sets.offsets.to_numpy()
+    return values.field("_node").to_numpy(), values.field("_root").to_numpy(), sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends - ends[0]
+
+
+def _members(cell: pa.ListScalar) -> tuple[list[int], list[int], list[np.ndarray]]:
+    nodes, roots, sets, ends = _block(cell)
+    return nodes.tolist(), roots.tolist(), [sets[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _hidden_links(shared: DataFrame, stars: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links inside buckets that still hold several components.
+
+    Nodes outside the bucket's most common component meet all its nodes in blocks: rows pair
+    blocks, never nodes, and sets are compared exactly.  A bucket of two was settled by its star.
+    """
+    placed = stage(_with_component(shared.select("_band", "_node"), stars), "placed")
+    counts = placed.groupBy("_band").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1"), F.count(F.lit(1)).alias("_k"))
+    open_rows = stage(placed.join(counts.where("_r0 != _r1 and _k > 2").select("_band", "_k"), "_band"), "open-buckets")
+    per_root = open_rows.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_same"))
+    usual = per_root.groupBy("_band").agg(F.max_by("_root", F.struct("_same", "_root")).alias("_usual"))
+    sets = stage(_sets_of(open_rows.select("_node").distinct(), nodes, texts), "open-sets")
+    blocks = F.ceil(F.col("_k") / BLOCK).cast("long")
+    full = open_rows.join(sets, "_node").join(usual, "_band").withColumn("_block", F.pmod(F.xxhash64("_node"), blocks))
+    member = F.collect_list(F.struct("_node", "_root", "_shingles"))
+    every = full.groupBy("_band", "_block").agg(member.alias("_others"))
+    rare = full.where("_root != _usual").groupBy("_band", "_block").agg(member.alias("_some")).select("_band", "_some")
+    met = rare.join(every, "_band").select("_some", "_others").mapInArrow(_block_links, "_u long, _v long")
+    return stage(met.select(F.least("_u", "_v").alias("_u"), F.greatest("_u", "_v").alias("_v")).distinct(), "hidden-links")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One staged row per input row: `_id`, `_hash` of the text, `_n` shingles, `_component` (smallest id)."""
     rows = stage(_rows(df, id_col, text_col).mapInArrow(_sketches, SKETCH), "sketches")
@@ -213,15 +273,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     links = _verified(tested, nodes, texts)
     stars = components(links)
 
-    placed = stage(_with_component(shared.select("_band", "_node"), stars), "placed")
-    mixed = placed.groupBy("_band").agg(F.min("_root").alias("_r0"), F.max("_root").alias("_r1")).where("_r0 != _r1").select("_band")
-    open_rows = stage(placed.join(mixed, "_band"), "open-buckets")
-    per_root = open_rows.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_k"))
-    usual = per_root.groupBy("_band").agg(F.max_by("_root", F.struct("_k", "_root")).alias("_usual"))
-    rare = open_rows.join(usual, "_band").where("_root != _usual").select("_band", F.col("_node").alias("_a"), F.col("_root").alias("_ra"))
-    across = open_rows.join(rare, "_band").where("_root != _ra")
-    pairs = across.select(F.least("_node", "_a").alias("_u"), F.greatest("_node", "_a").alias("_v")).distinct().join(tested, ["_u", "_v"], "left_anti")
-    more = _verified(stage(pairs, "open-pairs"), nodes, texts)
+    more = _hidden_links(shared, stars, nodes, texts)
     if not more.isEmpty():
         stars = components(stars.select("_u", "_v").union(more))
 
