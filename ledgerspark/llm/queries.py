@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, mixing, near, quality_rules
+from ledgerspark.llm import exact, mixing, near, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +23,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_report(_table(spark, sf_dir, "documents"))
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_minhash_near_dedup": op8_minhash_near_dedup}
 
 ORACLES = {
     "op1_exact_dedup": f"""
@@ -37,4 +41,11 @@ WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op6_mixing": mixing.ORACLE,
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS digest FROM p),
+m AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first_id FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM m""",
 }
