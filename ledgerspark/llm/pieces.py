@@ -33,16 +33,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.llm.wordtable import WordTable, ranges, runs
+
 MARK = "▁"
 _BASE = np.uint64(0x5851F42D4C957F2D)
-_CACHED_WORDS = 400_000
 _NONE = -1
-NORMAL, UNKNOWN, BYTE = 1, 2, 6
 #: Cells of one lattice matrix (words x lengths), to bound memory.
-_CELLS = 1 << 20
+_CELLS = 1 << 18
 
 
 class Model:
@@ -67,9 +67,11 @@ class Model:
             raise ValueError("two pieces share a hash")
         place = np.argsort(hashes)
         self.keys, self.ids = hashes[place], np.array(plain, np.int64)[place]
+        self.chars = np.zeros(n, np.int64)
+        self.chars[plain] = [len(names[i]) for i in plain]
         self.hash_of, self.power_of = np.zeros(n, np.uint64), np.ones(n, np.uint64)
         self.hash_of[plain] = hashes
-        self.power_of[plain] = _powers(self.longest)[[len(names[i]) for i in plain]]
+        self.power_of[plain] = _powers(self.longest)[self.chars[plain]]
         by_name = {names[i]: i for i in plain}
         for i in order:
             self.left[i], self.right[i] = self._last_merge(names[i], by_name)
@@ -180,47 +182,33 @@ class Model:
 
 @lru_cache
 def _powers(n: int) -> np.ndarray:
-    out = np.ones(n + 1, np.uint64)
-    for i in range(n):
-        out[i + 1] = out[i] * _BASE
-    return out
+    return np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)), dtype=np.uint64)
 
 
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 
 
 class Coder:
-    """Encodes texts word by word; words seen before are looked up."""
+    """Encodes texts word by word and decodes ids."""
 
     def __init__(self, data: bytes):
         self.model = Model(data)
-        self.seen: dict[str, int] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.seen.clear()
-        self.flat, self.flat_at, self.lengths, self.starts = np.empty(0, np.int32), 0, np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _add(self, words: list[str]) -> None:
-        """Encode new words, equal lengths together."""
-        if len(self.seen) + len(words) > _CACHED_WORDS:
-            self._reset()
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        found: list[np.ndarray] = []
-        for length, same in sorted(by_length.items()):
-            step = max(1, _CELLS // (length * self.model.longest))
-            for i in range(0, len(same), step):
-                part = same[i : i + step]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length).astype(np.uint64)
-                for w, ids in zip(part, self.model.viterbi(codes), strict=True):
-                    self.seen[w] = len(self.lengths) + len(found)
-                    found.append(self._with_bytes(w, ids))
-        lengths = np.array([len(f) for f in found], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *found]).astype(np.int32)
+        self.table = WordTable(self._encode_words, np.int32)
+
+    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+        """New words, those of equal length together."""
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(words)
+        for length, places in by_length.items():
+            step = max(1, _CELLS // (length * 8))
+            for i in range(0, len(places), step):
+                part = places[i : i + step]
+                codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
+                for k, ids in zip(part, self.model.viterbi(codes.astype(np.uint64)), strict=True):
+                    out[k] = self._with_bytes(words[k], ids)
+        return out
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         """Byte pieces in place of unknown characters."""
@@ -230,39 +218,47 @@ class Coder:
         for i in ids.tolist():
             if i == self.model.unknown:
                 out += [self.model.bytes_at[b] for b in word[at].encode("utf-8", "surrogatepass")]
-                at += 1
             else:
                 out.append(i)
-                at += self.model.length_of(i)
-        return np.array(out, np.int64)
+            at += 1 if i == self.model.unknown else self.model.chars[i]
+        return np.array(out, np.int32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {w for ws in words for w in ws}
-        if new := [w for w in new if w not in self.seen]:
-            self._add(sorted(new))
-            if any(w not in self.seen for ws in words for w in ws):  # the cache was emptied on the way
-                self._add(sorted({w for ws in words for w in ws if w not in self.seen}))
-        return [self._joined(np.fromiter(map(self.seen.__getitem__, ws), np.int64, len(ws))) for ws in words]
-
-    def _joined(self, words: np.ndarray) -> np.ndarray:
-        return _ranges(self.flat, self.starts[words], self.lengths[words])
+        return self.table.lookup([_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
 
     def decode(self, ids: np.ndarray) -> str:
         m = self.model
-        raw = _ranges(m.raw, m.raw_at[ids], m.raw_len[ids]).tobytes().decode("utf-8", "replace")
+        raw = ranges(m.raw, m.raw_at[ids], m.raw_len[ids]).tobytes().decode("utf-8", "replace")
         return raw[1:] if raw.startswith(" ") else raw
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """values[start : start + length] of all pairs, one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - ends + lengths, lengths)]
+def coded(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, ids, decoded text, exact (the decoded text is the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(model)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for part in runs([len(t or "") for t in texts], 1 << 20):
+                ids = coder.encode(texts[part])
+                decoded = [coder.decode(i) for i in ids]
+                exact = [d == (t or "") for d, t in zip(decoded, texts[part], strict=True)]
+                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *made], ["doc_id", "ids", "text", "exact"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, text string, exact boolean")
 
 
-CODED = "_ids array<int>, _text string"
+def coded_report(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit), text_sha256 of the decoded text, exact."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4"), batch.column(1).offsets.to_numpy()
+            ends = ends - ends[0]
+            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_crc32", "text", "exact"])
 
-def coded(df: DataFrame, model: bytes, text_col: str = "text", *, with_ids: bool = True, keep: list[Column] | None = None) -> DataFrame:
-    raise NotImplementedError
+    out = coded(df, model, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, text string, exact boolean")
+    return out.select("doc_id", "n_tokens", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "exact")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, mixing, near, quality_rules, warc
+from ledgerspark.llm import exact, mixing, near, pieces, quality_rules, ranker, repair, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +16,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    with open(model or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return pieces.coded_report(_table(spark, sf_dir, "documents"), f.read())
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranker.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -31,9 +41,14 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        return repair.shard_report(_table(spark, sf_dir, "documents"), f.read())
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sentencepiece": op2_sentencepiece, "op5_quality_classifier": op5_quality_classifier, "op10_token_shards": op10_token_shards, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_minhash_near_dedup": op8_minhash_near_dedup}
 
 ORACLES = {
     "op1_exact_dedup": f"""
