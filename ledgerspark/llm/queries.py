@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, mixing, near, pieces, quality_rules, ranker, repair, warc
+from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         return repair.shard_report(_table(spark, sf_dir, "documents"), f.read())
@@ -48,7 +52,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sentencepiece": op2_sentencepiece, "op5_quality_classifier": op5_quality_classifier, "op10_token_shards": op10_token_shards, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sentencepiece": op2_sentencepiece, "op5_quality_classifier": op5_quality_classifier, "op9_language_id": op9_language_id, "op10_token_shards": op10_token_shards, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_minhash_near_dedup": op8_minhash_near_dedup}
 
 ORACLES = {
     "op1_exact_dedup": f"""
