@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, warc
+from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, templates, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.template_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +56,13 @@ def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_sentencepiece": op2_sentencepiece, "op5_quality_classifier": op5_quality_classifier, "op9_language_id": op9_language_id, "op10_token_shards": op10_token_shards, "op3_quality_rules": op3_quality_rules, "op6_mixing": op6_mixing, "op7_warc": op7_warc, "op8_minhash_near_dedup": op8_minhash_near_dedup}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_sentencepiece, op3_quality_rules, op4_line_templates, op5_quality_classifier, op6_mixing, op7_warc, op8_minhash_near_dedup,
+        op9_language_id, op10_token_shards,
+    )
+}
 
 ORACLES = {
     "op1_exact_dedup": f"""
