@@ -297,8 +297,8 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     first = groups.where("_n > 0").withColumn("_place", place).where("_place = 1").select("_id", "_hash", F.lit(True).alias("_stay"))
     keys = groups.where("_n > 0").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("_times"))
     marked = keys.join(first.withColumnsRenamed({"_id": "_i", "_hash": "_h"}), F.expr("_id <=> _i and _hash <=> _h"), "left").drop("_i", "_h")
-    marked = stage(marked.where("_stay is null or _times > 1").select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_stay"), "near-losers")
+    marked = stage(marked.where("_stay is null or _times > 1").select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_stay", F.lit(True).alias("_hit")), "near-losers")
     left = _rows(df, id_col, text_col, F.struct("*").alias("_row")).drop("_text").join(marked, F.expr("_id <=> _i and _hash <=> _h"), "left")
-    alone = left.where("_i is null and _stay is null").select("_row.*")
+    alone = left.where("_hit is null").select("_row.*")
     repeated = left.where("_stay").withColumn("_place", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0)))).where("_place = 1").select("_row.*")
     return alone.unionByName(repeated) if not marked.where("_stay").isEmpty() else alone
