@@ -166,38 +166,37 @@ def overrides(transactions: DataFrame) -> DataFrame:
 
 
 def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared and projected per-share payments of the instruments that have a profile."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0)
+    """Declared and projected per-share payments, one for each order."""
+    o = table(spark, sf_dir, "orders")
     key = F.col("o_custkey") % 20
-    ex = F.to_date("o_orderdate")
-    rows = o.where(key % 4 != 3).select(
+    # key 4 stopped paying years before the valuation date
+    ex = F.when(key == 4, F.date_sub(F.to_date("o_orderdate"), 3650)).otherwise(F.to_date("o_orderdate"))
+    return o.select(
         key.alias("instrument_key"), ex.alias("ex_date"), F.date_add(ex, (F.col("o_orderkey") % 40).cast("int")).alias("pay_date"),
         ((F.col("o_orderkey") % 100 + 1) / F.lit(100.0) / F.lit(OFF_TIE)).alias("amount"), _currency(key).alias("currency"),
         (F.col("o_orderstatus") != "P").alias("declared"),
     )
-    # key 4 stops paying years before the valuation date
-    return rows.where((F.col("instrument_key") != 4) | (F.col("ex_date") < F.lit("1999-01-01").cast("date")))
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("instrument_key")).distinct()
     key = F.col("instrument_key")
-    return keys.where(key % 4 != 3).select(
-        "instrument_key", _currency(key).alias("currency"), (key != 8).alias("is_distributing"), F.lit(2.5).alias("ttm_per_share"),
+    return keys.select(
+        "instrument_key", _currency(key).alias("currency"), ((key != 8) & (key % 4 != 3)).alias("is_distributing"), F.lit(2.5).alias("ttm_per_share"),
     )
 
 
 def accruals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net dividend accruals per supplier and instrument, dated around the valuation date."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("2001-07-01").cast("timestamp"))
+    """Net dividend accruals per supplier, instrument and day; those of some instruments in the last months are open."""
+    li = table(spark, sf_dir, "lineitem")
     key = F.col("l_partkey") % 20
     day = F.to_date("l_shipdate")
-    agg = li.where(key % 5 == 2).groupBy(F.col("l_suppkey").alias("portfolio_id"), key.alias("instrument_key"), day.alias("ex_date")).agg(
+    agg = li.groupBy(F.col("l_suppkey").alias("portfolio_id"), key.alias("instrument_key"), day.alias("ex_date")).agg(
         F.sum(F.col("l_quantity").cast("long")).alias("q")
     )
     gross = F.col("q") / F.lit(100.0) / F.lit(OFF_TIE)
     return agg.select(
         "portfolio_id", "instrument_key", "ex_date", F.date_add("ex_date", 20).alias("pay_date"), _currency(F.col("instrument_key")).alias("currency"),
         F.col("q").cast("double").alias("quantity"), F.lit(0.01).alias("gross_rate"), gross.alias("gross"), (gross / 4.0).alias("tax"),
-        (gross - gross / 4.0).alias("net"), (F.col("q") % 2 == 0).alias("open"),
+        (gross - gross / 4.0).alias("net"), ((F.col("q") % 2 == 0) & (F.col("instrument_key") % 5 == 2) & (F.col("ex_date") >= F.lit("2001-07-01").cast("date"))).alias("open"),
     )

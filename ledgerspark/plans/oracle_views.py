@@ -198,12 +198,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                count(*) FILTER (NOT excluded AND NOT closed AND market_value_base IS NOT NULL) AS value_covered
         FROM v_holdings GROUP BY 1"""),
     "v_prof_rows": ([], f"""
-        SELECT o_custkey % 20 AS instrument_key, CAST(o_orderdate AS DATE) AS ex_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS pay_date,
-               (o_orderkey % 100 + 1) / 100e0 / 0.9973e0 AS amount, {ccy('(o_custkey % 20)')} AS currency, o_orderstatus <> 'P' AS declared
-        FROM orders WHERE o_orderkey % 10 = 0 AND (o_custkey % 20) % 4 <> 3 AND (o_custkey % 20 <> 4 OR o_orderdate < TIMESTAMP '1999-01-01')"""),
+        SELECT *, ex_date + CAST(o_orderkey % 40 AS INT) AS pay_date
+        FROM (SELECT o_orderkey, o_custkey % 20 AS instrument_key, CAST(o_orderdate AS DATE) - CASE WHEN o_custkey % 20 = 4 THEN 3650 ELSE 0 END AS ex_date,
+                     (o_orderkey % 100 + 1) / 100e0 / 0.9973e0 AS amount, {ccy('(o_custkey % 20)')} AS currency, o_orderstatus <> 'P' AS declared FROM orders)"""),
     "v_profiles": ([], f"""
-        SELECT DISTINCT o_custkey % 20 AS instrument_key, {ccy('(o_custkey % 20)')} AS currency, o_custkey % 20 <> 8 AS is_distributing
-        FROM orders WHERE (o_custkey % 20) % 4 <> 3"""),
+        SELECT DISTINCT o_custkey % 20 AS instrument_key, {ccy('(o_custkey % 20)')} AS currency, o_custkey % 20 <> 8 AND (o_custkey % 20) % 4 <> 3 AS is_distributing
+        FROM orders"""),
     "x_window": (["v_prof_rows"], """
         SELECT p.*, w.stale FROM v_prof_rows p JOIN (
           SELECT instrument_key, count(*) FILTER (ex_date > DATE '2000-08-01' AND ex_date <= DATE '2001-08-01') = 0 AS stale,
@@ -220,9 +220,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         GROUP BY 1, 2"""),
     "v_accruals": ([], f"""
         SELECT portfolio_id, instrument_key, ex_date, ex_date + 20 AS pay_date, {ccy('instrument_key')} AS currency, CAST(q AS DOUBLE) AS quantity,
-               q / 100e0 / 0.9973e0 AS gross, q / 100e0 / 0.9973e0 / 4e0 AS tax, q / 100e0 / 0.9973e0 - q / 100e0 / 0.9973e0 / 4e0 AS net, q % 2 = 0 AS open
+               q / 100e0 / 0.9973e0 AS gross, q / 100e0 / 0.9973e0 / 4e0 AS tax, q / 100e0 / 0.9973e0 - q / 100e0 / 0.9973e0 / 4e0 AS net,
+               q % 2 = 0 AND instrument_key % 5 = 2 AND ex_date >= DATE '2001-07-01' AS open
         FROM (SELECT l_suppkey AS portfolio_id, l_partkey % 20 AS instrument_key, CAST(l_shipdate AS DATE) AS ex_date, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q
-              FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-07-01' AND (l_partkey % 20) % 5 = 2 GROUP BY 1, 2, 3)"""),
+              FROM lineitem GROUP BY 1, 2, 3)"""),
     "v_declared": (["v_accruals", "v_rate", "v_settings"], """
         SELECT a.portfolio_id, a.instrument_key, strftime(a.pay_date, '%Y-%m') AS month, 'declared' AS basis, a.pay_date, month(a.ex_date) AS ex_month,
                a.gross * (CASE WHEN a.currency = s.base_currency THEN 1e0 ELSE r.rate END) AS gross_base,
