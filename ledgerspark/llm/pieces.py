@@ -141,8 +141,8 @@ class Model:
             x, y = np.where(take_left, self.right[x], x), np.where(take_left, y, self.left[y])
         return ok
 
-    def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Ids of words of equal length: `codes` holds a word's code points in each row."""
+    def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of equal length, end to end, and their borders: `codes` holds a word's code points in each row."""
         rows, length = codes.shape
         power = _powers(self.longest)
         prefix = np.zeros((rows, length + 1), np.uint64)
@@ -168,7 +168,7 @@ class Model:
             at = np.arange(rows)
             reached[:, end] = score[at, best] == 0.0
             last[:, end], back[:, end] = piece[at, best], best + 1
-        out, position = [], np.full(rows, length)
+        position = np.full(rows, length)
         ids, owner = [], []
         while (open_rows := np.flatnonzero(position > 0)).size:
             ids.append(last[open_rows, position[open_rows]])
@@ -176,8 +176,7 @@ class Model:
             position[open_rows] -= back[open_rows, position[open_rows]]
         flat, owner = np.concatenate(ids)[::-1], np.concatenate(owner)[::-1]
         order = np.argsort(owner, kind="stable")
-        out = np.split(flat[order], np.cumsum(np.bincount(owner, minlength=rows))[:-1])
-        return out
+        return flat[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
 
 
 @lru_cache
@@ -206,14 +205,16 @@ class Coder:
             for i in range(0, len(places), step):
                 part = places[i : i + step]
                 codes = np.frombuffer("".join(words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), length)
-                for k, ids in zip(part, self.model.viterbi(codes.astype(np.uint64)), strict=True):
-                    out[k] = self._with_bytes(words[k], ids)
+                flat, ends = self.model.viterbi(codes.astype(np.uint64))
+                odd = np.add.reduceat(flat == self.model.unknown, ends[:-1]) > 0
+                borders = ends.tolist()
+                for j, k in enumerate(part):
+                    ids = flat[borders[j] : borders[j + 1]]
+                    out[k] = self._with_bytes(words[k], ids) if odd[j] else ids
         return out
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         """Byte pieces in place of unknown characters."""
-        if not (ids == self.model.unknown).any():
-            return ids
         out, at = [], 0
         for i in ids.tolist():
             if i == self.model.unknown:
@@ -232,11 +233,17 @@ class Coder:
         return raw[1:] if raw.startswith(" ") else raw
 
 
+@lru_cache(maxsize=1)
+def coder_of(data: bytes) -> Coder:
+    """One coder a worker: its tables outlast a task."""
+    return Coder(data)
+
+
 def coded(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids, decoded text, exact (the decoded text is the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(model)
+        coder = coder_of(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for part in runs([len(t or "") for t in texts], 1 << 20):

@@ -26,17 +26,20 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from tokenizers import Tokenizer
 
 from ledgerspark.llm.common import new_folder, stage
 from ledgerspark.llm.wordtable import WordTable, runs
 
-END_ID, SHARD_IDS, ROUNDS, LEAST_COUNT, MOST_NEW = 1, 1 << 20, 8, 16, 8192
+END_ID, SHARD_IDS, ROUNDS, LEAST_COUNT, MOST_NEW = 1, 1 << 20, 5, 16, 8192
 _HEAD = struct.Struct("<4sQIIIQQ")  # magic, length of all, documents, rules, first new symbol, symbols, ids
 _MAGIC = b"RPS1"
 
@@ -152,26 +155,30 @@ class Shard:
         return np.split(self._expand(self.symbols).astype("<u4"), np.cumsum(self.sizes)[:-1])
 
 
-def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
-    """Encode all texts with a tokenizer (its JSON text) and write them in ascending id order."""
+@lru_cache(maxsize=1)
+def table_of(tokenizer: str) -> tuple[WordTable, int]:
+    """Word table of a tokenizer and the first free symbol; one a worker, it outlasts a task."""
+    coder = Tokenizer.from_str(tokenizer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+    def encode(words: list[bytes]) -> list[list[int]]:
+        found = coder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [e.ids for e in found]
 
-        coder = Tokenizer.from_str(tokenizer)
-        first_new = max(coder.get_vocab_size(with_added_tokens=True), END_ID + 1)
+    return WordTable(encode, np.uint32), max(coder.get_vocab_size(with_added_tokens=True), END_ID + 1)
 
-        def encode(words: list[bytes]) -> list[np.ndarray]:
-            found = coder.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            return [np.array(e.ids, np.uint32) for e in found]
 
-        table, end = WordTable(encode, np.uint32), np.array([END_ID], np.uint32)
+def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
+    """Encode all texts with a tokenizer (its JSON text) and write them in ascending id order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, first_new = table_of(tokenizer)
+        end = np.array([END_ID], np.uint32)
         ids, texts, total = [], [], 0
         for batch in batches:
-            words = [(t or b"").split() for t in batch.column(1).to_pylist()]
-            names = batch.column(0).to_pylist()
-            for part in runs([len(w) for w in words], 1 << 17):
-                for name, found in zip(names[part], table.lookup(words[part]), strict=True):
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for part in runs(sizes, 1 << 20):
+                names, words = batch.column(0)[part].to_pylist(), [(t or b"").split() for t in batch.column(1)[part].to_pylist()]
+                for name, found in zip(names, table.lookup(words), strict=True):
                     ids.append(name)
                     texts.append(np.concatenate([found, end]))
                     total += len(found) + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -34,7 +35,7 @@ class WordTable:
         self.seen.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, *found]).astype(self.dtype)
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.dtype, int(lengths.sum()))]) if found and isinstance(found[0], list) else np.concatenate([self.flat, *found]).astype(self.dtype)
 
     def lookup(self, texts: list[list]) -> list[np.ndarray]:
         """Per text the arrays of its words, joined."""
