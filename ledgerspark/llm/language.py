@@ -178,15 +178,16 @@ class Labeller:
         return out
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        words = [word_list(t) if t and _LETTER.search(t) else [] for t in texts]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        # long texts together: a step advances all texts of a part
-        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
-        for part in runs([len(words[i]) for i in order], 1 << 18):
-            chosen = order[part]
-            shares = self.shares([words[i] for i in chosen])
+        # texts of like length together: a step advances all texts of a part
+        order = sorted((i for i, t in enumerate(texts) if t and _LETTER.search(t)), key=lambda i: -len(texts[i]))
+        for part in runs([len(texts[i]) for i in order], 1 << 20):
+            words = {i: w for i in order[part] if (w := word_list(texts[i]))}
+            if not words:
+                continue
+            shares = self.shares(list(words.values()))
             best = shares.argmax(axis=1)
-            for i, b, s in zip(chosen, best, shares, strict=True):
+            for i, b, s in zip(words, best, shares, strict=True):
                 names[i], scores[i] = self.model.names[b], min(1.0, float(s[b]))
         return names, scores
 

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 #: Words kept; the table starts afresh beyond that, so memory is bounded.
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 
 
 def ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
