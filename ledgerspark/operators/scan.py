@@ -13,7 +13,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,12 +33,20 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
     return not hot_keys(df, keys, limit).isEmpty()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of this machine only for a local session without one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="ledgerspark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the session's checkpoint folder and read it from there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ledgerspark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -182,7 +182,8 @@ class Ledger:
 
 
 def merge(bundle: Bundle, imported: DataFrame, *, parity: bool = False) -> Ledger:
-    rates = bundle.fx_rates.groupBy("base", "quote", "date").agg(F.min_by("rate", "file_id").alias("rate"))
+    dated = bundle.fx_rates.join(imported.select("file_id", "imported_at"), "file_id")
+    rates = dated.groupBy("base", "quote", "date").agg(F.min_by("rate", F.struct("imported_at", "file_id")).alias("rate"))
     return Ledger(
         merge_instruments(bundle.instruments, imported), merge_events(bundle.transactions, imported), merge_events(bundle.distributions, imported),
         merge_accruals(bundle.accrual_rows, imported, parity=parity), merge_events(bundle.cash_events, imported),
