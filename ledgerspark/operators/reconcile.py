@@ -109,7 +109,7 @@ def accruals(ctx: derive.Context) -> DataFrame:
     marked = _classified(ctx.rows.where(F.col("section") == "Change in Dividend Accruals"), num(cell("net_amount")))
     nets = derive.net_accruals(derive.accrual_rows(ctx), ["portfolio_id", "file_id"])
     ours = nets.groupBy("file_id", "currency").agg(exact_sum("net").alias("all"), exact_sum(F.when(F.col("open"), F.col("net"))).alias("open"))
-    named = lambda p: F.first(F.when(F.startswith("first", F.lit(p)), F.col("amount")), ignorenulls=True)
+    named = lambda p: F.min_by("amount", F.when(F.startswith("first", F.lit(p)), F.col("line_no")))
     labels = marked.where(F.col("is_label") & F.col("amount").isNotNull()).groupBy("file_id").agg(
         named("Starting Dividend Accruals").alias("starting"), named("Ending Dividend Accruals").alias("ending")
     )

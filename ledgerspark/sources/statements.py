@@ -45,8 +45,13 @@ def canonical_hash(text: Column) -> Column:
 
 
 def identify(files: DataFrame) -> DataFrame:
-    """Add the two identities of a file."""
-    return files.withColumns({"file_id": F.sha2("text", 256), "canonical_id": canonical_hash(F.col("text"))})
+    """Add the two identities of a file.
+
+    `file_id` names one text in one portfolio, so that a statement loaded into two
+    portfolios is two files; `canonical_id` is compared within a portfolio.
+    """
+    whose = F.coalesce(F.col("portfolio_id").cast("string"), F.lit(""))
+    return files.withColumns({"file_id": F.sha2(F.concat(whose, F.lit("\x1f"), "text"), 256), "canonical_id": canonical_hash(F.col("text"))})
 
 
 def records(files: DataFrame) -> DataFrame:

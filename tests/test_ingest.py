@@ -39,6 +39,15 @@ def test_duplicate_files(spark, folder):
     assert got["2_quarter.csv"] == "duplicate-exact" and got["4_again.csv"] == "duplicate-regenerated" and fresh.count() == 1
 
 
+def test_one_text_in_two_portfolios(spark):
+    files = spark.createDataFrame([("p1", "a", quarter()), ("p2", "b", quarter())], "portfolio_id string, path string, text string")
+    fresh, outcome = ingest.new_files(files, None)
+    assert sorted(r.outcome for r in outcome.collect()) == ["new", "new"]
+    tx = ingest.derive_transactions(fresh)
+    got = {p: sorted(rows(tx.where(F.col("portfolio_id") == p), "line_no", "quantity", "price")) for p in ("p1", "p2")}
+    assert got["p1"] and got["p1"] == got["p2"]
+
+
 def test_records(spark):
     text = "﻿A,Header,x,,x\r\nA,Data,\"1,5\",\"q\"\"q\",\"two\nlines\"\r\rA,Data,1,2,3,4, \n\n,,\nA,Data,un\"quo\"ted\n"
     files = spark.createDataFrame([("p", "f", text)], "portfolio_id string, path string, text string").withColumn("file_id", F.lit("f"))
