@@ -43,6 +43,13 @@ _BASE = np.uint64(0x5851F42D4C957F2D)
 _NONE = -1
 #: Cells of one lattice matrix (words x lengths), to bound memory.
 _CELLS = 1 << 18
+#: Words a worker keeps.
+WORDS_KEPT = 600_000
+_SLOTS = 1 << 20
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(32))) & np.uint64(_SLOTS - 1)).astype(np.int64)
 
 
 class Model:
@@ -67,6 +74,8 @@ class Model:
             raise ValueError("two pieces share a hash")
         place = np.argsort(hashes)
         self.keys, self.ids = hashes[place], np.array(plain, np.int64)[place]
+        self.named = np.zeros(_SLOTS, bool)
+        self.named[_slot(self.keys)] = True
         self.chars = np.zeros(n, np.int64)
         self.chars[plain] = [len(names[i]) for i in plain]
         self.hash_of, self.power_of = np.zeros(n, np.uint64), np.ones(n, np.uint64)
@@ -107,8 +116,14 @@ class Model:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes, _NONE for others."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], _NONE)
+        flat = np.ravel(hashes)
+        out = np.full(len(flat), _NONE, np.int64)
+        # most substrings are no pieces; a small hashed table tells so for nearly all of them
+        maybe = np.flatnonzero(self.named[_slot(flat)])
+        wanted = flat[maybe]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        out[maybe] = np.where(self.keys[at] == wanted, self.ids[at], _NONE)
+        return out.reshape(hashes.shape)
 
     def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether neighbours a, b remain when merged on their own.
@@ -192,9 +207,9 @@ class Coder:
 
     def __init__(self, data: bytes):
         self.model = Model(data)
-        self.table = WordTable(self._encode_words, np.int32)
+        self.table = WordTable(self._encode_words, np.int32, WORDS_KEPT)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """New words, those of equal length together."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
@@ -211,7 +226,7 @@ class Coder:
                 for j, k in enumerate(part):
                     ids = flat[borders[j] : borders[j + 1]]
                     out[k] = self._with_bytes(words[k], ids) if odd[j] else ids
-        return out
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         """Byte pieces in place of unknown characters."""

@@ -13,8 +13,8 @@ own length, so nothing depends on the separator.  Files are read back whole, one
 and are as small as the partitions.
 
 Texts are cut at ASCII white space, which no token of this tokenizer family crosses, and
-every distinct word is given to the tokenizers library once per task; the ids are those of
-the whole text.
+a distinct word is given to the tokenizers library once while a worker's table has room;
+new words go there many at a time, between separators.  The ids are those of the whole text.
 
 Defined cases: null and empty texts have just the end id; null ids come first; rows with the
 same id keep a fixed order (by a hash of their text); a text longer than a shard is a shard of
@@ -42,6 +42,15 @@ from ledgerspark.llm.wordtable import WordTable, runs
 END_ID, SHARD_IDS, ROUNDS, LEAST_COUNT, MOST_NEW = 1, 1 << 20, 5, 16, 8192
 _HEAD = struct.Struct("<4sQIIIQQ")  # magic, length of all, documents, rules, first new symbol, symbols, ids
 _MAGIC = b"RPS1"
+#: Words a worker keeps, and words given to the library as one text.
+WORDS_KEPT, WORDS_A_TEXT = 1_200_000, 512
+_SLOTS = 1 << 18
+#: A character that is a token of its own and separates the words of such a text.
+_BETWEEN = "\x01"
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs ^ (pairs >> 26)) & (_SLOTS - 1)
 
 
 def grammar(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,13 +73,19 @@ def grammar(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int = ROU
         if len(chosen) > MOST_NEW:  # the rest waits for a later round
             chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:MOST_NEW]])
         pairs = pairs[chosen]
-        at = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-        hit = np.flatnonzero(pairs[at] == code)
+        # most pairs are none of the chosen ones; a small hashed table tells so for nearly all of them
+        named = np.zeros(_SLOTS, bool)
+        named[_slot(pairs)] = True
+        hit = np.flatnonzero(named[_slot(code)])
+        at = np.minimum(np.searchsorted(pairs, code[hit]), len(pairs) - 1)
+        same = pairs[at] == code[hit]
+        hit, at = hit[same], at[same]
         # every second one of a run of overlapping occurrences
         fresh = np.concatenate([[True], np.diff(hit) > 1])
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
-        seq[hit] = first_new + made + at[hit]
+        second = (np.arange(len(hit)) - run_start) % 2 == 1
+        hit, at = hit[~second], at[~second]
+        seq[hit] = first_new + made + at
         last[hit] = last[hit + 1]
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
@@ -160,11 +175,31 @@ def table_of(tokenizer: str) -> tuple[WordTable, int]:
     """Word table of a tokenizer and the first free symbol; one a worker, it outlasts a task."""
     coder = Tokenizer.from_str(tokenizer)
 
-    def encode(words: list[bytes]) -> list[list[int]]:
-        found = coder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [e.ids for e in found]
-
-    return WordTable(encode, np.uint32), max(coder.get_vocab_size(with_added_tokens=True), END_ID + 1)
+    def alone(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    between = alone([_BETWEEN])[0]
+    # the separator must be one id, which then stands for this character and nothing else
+    joins = len(between) == 1 and alone([f"ab {_BETWEEN} c. {_BETWEEN} d"])[0].count(between[0]) == 2
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for i in range(0, len(words), WORDS_A_TEXT):
+            names = [w.decode("utf-8", "replace") for w in words[i : i + WORDS_A_TEXT]]
+            if joins and not any(_BETWEEN in w for w in names):
+                found = np.array(alone([f" {_BETWEEN} ".join(names)])[0], np.uint32)
+                cuts = np.flatnonzero(found == between[0])
+                if len(cuts) != len(names) - 1:
+                    raise ValueError("words and separators of a text don't match")
+                ids.append(found[found != between[0]])
+                lengths.append(np.diff(cuts, prepend=-1, append=len(found)) - 1)
+            else:
+                each = alone(names)
+                ids.append(np.array([x for e in each for x in e], np.uint32))
+                lengths.append(np.array([len(e) for e in each], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    return WordTable(encode, np.uint32, WORDS_KEPT), max(coder.get_vocab_size(with_added_tokens=True), END_ID + 1)
 
 
 def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
@@ -176,7 +211,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
         ids, texts, total = [], [], 0
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for part in runs(sizes, 1 << 20):
+            for part in runs(sizes, 1 << 22):
                 names, words = batch.column(0)[part].to_pylist(), [(t or b"").split() for t in batch.column(1)[part].to_pylist()]
                 for name, found in zip(names, table.lookup(words), strict=True):
                     ids.append(name)

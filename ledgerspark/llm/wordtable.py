@@ -1,9 +1,9 @@
-"""Ids of words, each word encoded once per task."""
+"""Ids of words, each word encoded once while the table has room for it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -19,9 +19,9 @@ def ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 class WordTable:
-    """Looks words up; `encode` gives the arrays of new ones, many at a time."""
+    """Looks words up; `encode` gives the ids of new ones, end to end, and how many each has."""
 
-    def __init__(self, encode: Callable[[list], Sequence[np.ndarray]], dtype: type, most: int = MOST_WORDS):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = MOST_WORDS):
         self.encode, self.dtype, self.most, self.seen = encode, dtype, most, {}
         self._clear()
 
@@ -30,24 +30,28 @@ class WordTable:
         self.flat, self.starts, self.lengths = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _add(self, words: list) -> None:
-        found = self.encode(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        flat, lengths = self.encode(words)
         self.seen.update(zip(words, range(len(self.lengths), len(self.lengths) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), self.dtype, int(lengths.sum()))]) if found and isinstance(found[0], list) else np.concatenate([self.flat, *found]).astype(self.dtype)
+        self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
 
     def lookup(self, texts: list[list]) -> list[np.ndarray]:
         """Per text the arrays of its words, joined."""
-        wanted = set().union(*texts) if texts else set()
-        new = wanted - self.seen.keys()
-        if len(self.seen) + len(new) > self.most:
-            self._clear()
-            new = wanted
-        if new:
+        words = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = {words[i] for i in missing.tolist()}
+            if len(self.seen) + len(new) > self.most:
+                self._clear()
+                new, missing = set(words), np.arange(len(words))
             self._add(sorted(new))
-        at = [np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)) for words in texts]
-        return [ranges(self.flat, self.starts[i], self.lengths[i]) for i in at]
+            at[missing] = np.fromiter((self.seen[words[i]] for i in missing.tolist()), np.int64, len(missing))
+        lengths = self.lengths[at]
+        flat = ranges(self.flat, self.starts[at], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, texts)])]
+        return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def runs(sizes: Sequence[int], most: int) -> list[slice]:
