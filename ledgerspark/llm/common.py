@@ -53,11 +53,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    `batch_rows`: rows of an Arrow batch while this is written, for rows that hold much.
+    """
+    spark, path, setting = df.sparkSession, new_folder(df.sparkSession, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    try:
+        if batch_rows:
+            spark.conf.set(setting, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerspark.llm.common import held_out, stage, text_of, words_of
-from ledgerspark.llm.wordtable import MOST_WORDS, runs
+from ledgerspark.llm.wordtable import MOST_WORDS, memory_returned, runs
 
 PASSAGES, PASSAGE_WORDS, SEED, STEPS = 400, 80, 11, 60
 DIMENSIONS = 1 << 16
+#: Rows whose texts are Python objects at a time.
+LABELLED_ROWS = 2000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that are no letters, other than spaces, are not part of words.
@@ -226,15 +228,19 @@ def learn(found: list[tuple[str, list[bytes]]]) -> Crf | None:
     return Crf(names).fit(sequences, labels)
 
 
-def _labelled(rows: DataFrame, model: Crf | None, schema: str) -> DataFrame:
-    """`rows` ends in the text, which is replaced by language and score."""
+def _labelled(rows: DataFrame, model: Crf | None, schema: str, text_at: int | None = None) -> DataFrame:
+    """Column 0 of `rows` with language and score; the text is column 1, or field `text_at` of a struct in column 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model) if model else None
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = labeller.label(texts) if labeller else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
+        with memory_returned():
+            labeller = Labeller(model) if model else None
+            for batch in batches:
+                for at in range(0, batch.num_rows, LABELLED_ROWS):
+                    first = batch.column(0).slice(at, LABELLED_ROWS)
+                    texts = (batch.column(1).slice(at, LABELLED_ROWS) if text_at is None else first.field(text_at)).to_pylist()
+                    names, scores = labeller.label(texts) if labeller else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+                    yield pa.RecordBatch.from_arrays([first, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [batch.schema.names[0], "lang_pred", "score"])
+            del labeller
 
     return rows.mapInArrow(run, schema)
 
@@ -250,6 +256,7 @@ def languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def in_known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
     """The rows with a learned language whose words make up at least `least` of the text, with the columns of `df`."""
     model = learn(passages(df, id_col, text_col, lang_col))
-    rows = df.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    out = _labelled(rows, model, f"_row {df.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}, lang_pred string, score double")
+    rows = df.select(F.struct("*").alias("_row"))
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+    out = _labelled(rows, model, f"_row {df.select(F.struct('*').alias('r')).schema['r'].dataType.simpleString()}, lang_pred string, score double", at)
     return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")

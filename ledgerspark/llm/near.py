@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerspark.llm.common import stage
+from ledgerspark.llm.wordtable import memory_returned
 
 SHINGLE, SIMILARITY = 5, 75
 ROWS, BANDS = 6, 52
@@ -44,7 +45,9 @@ HASHES = ROWS * BANDS
 LEAST_AGREEING = int(HASHES * 0.75 - 5 * (HASHES * 0.75 * 0.25) ** 0.5)
 #: Nodes of a bucket that are compared at once.
 BLOCK = 128
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 100_000
+#: Rows of an Arrow batch: texts, and pairs of blocks.
+TEXT_ROWS, BLOCK_PAIRS = 512, 8
 
 _random = np.random.default_rng(20240607)
 _MULTIPLY = (_random.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
@@ -109,29 +112,33 @@ def _node_of(found: np.ndarray) -> int | None:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            n, node, sig, bands = [], [], [], []
-            for text in part.column(2).to_pylist():
-                found = shingles(text, hashes)
-                best = minima(found) if len(found) else None
-                n.append(len(found))
-                node.append(_node_of(found))
-                sig.append(None if best is None else best.astype(np.uint8).tobytes())
-                bands.append(None if best is None else _band_keys(best))
-            made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["_id", "_hash", "_n", "_node", "_sig", "_bands"])
+    with memory_returned():
+        hashes = _WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                n, node, sig, bands = [], [], [], []
+                for text in part.column(2).to_pylist():
+                    found = shingles(text, hashes)
+                    best = minima(found) if len(found) else None
+                    n.append(len(found))
+                    node.append(_node_of(found))
+                    sig.append(None if best is None else best.astype(np.uint8).tobytes())
+                    bands.append(None if best is None else _band_keys(best))
+                made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["_id", "_hash", "_n", "_node", "_sig", "_bands"])
+        del hashes
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _WordHashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            found = [shingles(t, hashes) for t in batch.column(0).slice(at, 64).to_pylist()]
-            made = [pa.array([_node_of(f) for f in found], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(made, ["_node", "_shingles"])
+    with memory_returned():
+        hashes = _WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                found = [shingles(t, hashes) for t in batch.column(0).slice(at, 64).to_pylist()]
+                made = [pa.array([_node_of(f) for f in found], pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(made, ["_node", "_shingles"])
+        del hashes
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     both = likely.join(sets.withColumnsRenamed({"_node": "_u", "_shingles": "_a"}), "_u").join(sets.withColumnsRenamed({"_node": "_v", "_shingles": "_b"}), "_v")
     common = F.size(F.array_intersect("_a", "_b"))
     similar = both.withColumn("_common", common).where(100 * F.col("_common") >= SIMILARITY * (F.size("_a") + F.size("_b") - F.col("_common")))
-    return stage(similar.select("_u", "_v").distinct(), "links")
+    return stage(similar.select("_u", "_v").distinct(), "links", TEXT_ROWS)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -249,19 +256,19 @@ def _hidden_links(shared: DataFrame, stars: DataFrame, nodes: DataFrame, texts:
     open_rows = stage(placed.join(counts.where("_r0 != _r1 and _k > 2").select("_band", "_k"), "_band"), "open-buckets")
     per_root = open_rows.groupBy("_band", "_root").agg(F.count(F.lit(1)).alias("_same"))
     usual = per_root.groupBy("_band").agg(F.max_by("_root", F.struct("_same", "_root")).alias("_usual"))
-    sets = stage(_sets_of(open_rows.select("_node").distinct(), nodes, texts), "open-sets")
+    sets = stage(_sets_of(open_rows.select("_node").distinct(), nodes, texts), "open-sets", TEXT_ROWS)
     blocks = F.ceil(F.col("_k") / BLOCK).cast("long")
     full = open_rows.join(sets, "_node").join(usual, "_band").withColumn("_block", F.pmod(F.xxhash64("_node"), blocks))
     member = F.collect_list(F.struct("_node", "_root", "_shingles"))
     every = full.groupBy("_band", "_block").agg(member.alias("_others"))
     rare = full.where("_root != _usual").groupBy("_band", "_block").agg(member.alias("_some")).select("_band", "_some")
     met = rare.join(every, "_band").select("_some", "_others").mapInArrow(_block_links, "_u long, _v long")
-    return stage(met.select(F.least("_u", "_v").alias("_u"), F.greatest("_u", "_v").alias("_v")).distinct(), "hidden-links")
+    return stage(met.select(F.least("_u", "_v").alias("_u"), F.greatest("_u", "_v").alias("_v")).distinct(), "hidden-links", BLOCK_PAIRS)
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One staged row per input row: `_id`, `_hash` of the text, `_n` shingles, `_component` (smallest id)."""
-    rows = stage(_rows(df, id_col, text_col).mapInArrow(_sketches, SKETCH), "sketches")
+    rows = stage(_rows(df, id_col, text_col).mapInArrow(_sketches, SKETCH), "sketches", TEXT_ROWS)
     texts = _rows(df, id_col, text_col)
     place = F.row_number().over(W.partitionBy("_node").orderBy(F.col("_id").asc_nulls_last(), "_hash"))
     nodes = stage(rows.where("_node is not null").withColumn("_place", place).where("_place = 1").drop("_place"), "nodes")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import ctypes
+import gc
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: Words kept; the table starts afresh beyond that, so memory is bounded.
 MOST_WORDS = 150_000
@@ -18,6 +22,19 @@ def ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - ends + lengths, lengths)]
 
 
+@contextmanager
+def memory_returned() -> Iterator[None]:
+    """Gives free memory back to the system afterwards: Spark keeps a worker for later tasks."""
+    try:
+        yield
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU C library only
+        if trim:
+            trim(0)
+
+
 class WordTable:
     """Looks words up; `encode` gives the ids of new ones, end to end, and how many each has."""
 
