@@ -648,34 +648,52 @@ def _(spark, sf):
 
 # --- streams --------------------------------------------------------------------------------
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = A.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _slices(spark: SparkSession, sf: str, name: str, time: str, n: int = 5) -> list[DataFrame]:
+    """A table in `n` spans of time of equal length, earliest first; every row is in one of them."""
+    rows = A.table(spark, sf, name)
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        return [rows]
+    number = F.coalesce(F.least(F.lit(n - 1), F.floor((at - lo) / F.lit(max(1, hi - lo) / n))), F.lit(0))
+    return [rows.where(number == i) for i in range(n)]
 
 
 @query("stream_quote_gate", "", ORACLES["quote_gate"])
 def _(spark, sf):
-    feed = _stream(spark, sf, "events").select(
-        F.col("user_id").alias("instrument_key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("as_of"),
-        F.col("value").alias("price"), F.lit("USD").alias("currency"), F.lit(None).cast("double").alias("statement_price"),
-    )
-    return jobs.drain(jobs.gate_quotes(feed), "gate").select("instrument_key", "seq", *r6("price"), "accepted")
+    def gate(events: DataFrame) -> DataFrame:
+        return jobs.gate_quotes(
+            events.select(
+                F.col("user_id").alias("instrument_key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("as_of"),
+                F.col("value").alias("price"), F.lit("USD").alias("currency"),
+            )
+        )
+
+    out = jobs.drain_slices(_slices(spark, sf, "events", "ts"), gate, "gate")
+    return out.select("instrument_key", "seq", *r6("price"), "accepted")
 
 
 @query("stream_unique_events", "", "SELECT DISTINCT event_id AS id, user_id FROM events")
 def _(spark, sf):
-    e = _stream(spark, sf, "events").select(F.col("event_id").alias("id"), "user_id")
-    return jobs.drain(jobs.unique_events(e.unionByName(e)), "unique")
+    def unique(events: DataFrame) -> DataFrame:
+        e = events.select(F.col("event_id").alias("id"), "user_id", F.col("ts").cast("timestamp").alias("at"))
+        return jobs.unique_events(e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), "at").select("id", "user_id")
+
+    return jobs.drain_slices(_slices(spark, sf, "events", "ts"), unique, "unique")
 
 
 @query("stream_running_income", "", """
 SELECT o_custkey % 100 AS portfolio_id, strftime(o_orderdate, '%Y-%m') AS month, round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2) AS gross, count(*) AS payments FROM orders GROUP BY 1, 2""")
 def _(spark, sf):
-    rows = _stream(spark, sf, "orders").select(
-        (F.col("o_custkey") % 100).alias("portfolio_id"), F.lit("USD").alias("currency"), F.col("o_orderdate").cast("date").alias("pay_date"),
-        F.col("o_totalprice").alias("gross"), F.lit(0.0).alias("tax"),
-    )
-    out = jobs.drain(jobs.running_income(rows), "income", "complete")
+    def income(orders: DataFrame) -> DataFrame:
+        rows = orders.select(
+            (F.col("o_custkey") % 100).alias("portfolio_id"), F.lit("USD").alias("currency"), F.col("o_orderdate").cast("date").alias("pay_date"),
+            F.col("o_totalprice").alias("gross"), F.lit(0.0).alias("tax"),
+        )
+        return jobs.running_income(rows, "40 days")
+
+    updates = jobs.drain_slices(_slices(spark, sf, "orders", "o_orderdate"), income, "income", "update")
+    out = jobs.newest(updates, ["portfolio_id", "currency", "month"])
     return out.select("portfolio_id", F.date_format("month", "yyyy-MM").alias("month"), F.col("gross").cast("decimal(18,2)").alias("gross"), "payments")
 
 

@@ -74,13 +74,24 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("kw", [{}, {"block_rows": 7}])
+@pytest.mark.parametrize("kw", [{}, {"block_rows": 7}, {"block_rows": 7, "hot_rows": 20, "chunk_rows": 10}])
 def test_gate_in_blocks_equals_one_pass(spark, kw):
     rows, df = feed(spark)
     got = {r.seq: r.accepted for r in quotes.gate_sequence(df, **kw).collect()}
     assert got == expected(rows)
 
 
+def test_stream_gate_goes_on_from_the_statement(spark):
+    at = lambda i: dt.datetime(2025, 1, 2, i)
+    rows = [("a", 1, at(1), 1000.0, "GBX"), ("a", 2, at(2), 10.1, "GBP"), ("a", 3, at(3), 10.2, "GBP"), ("a", 4, at(4), 20.0, "GBP"), ("a", 5, at(5), 10.3, "GBP")]
+    quotes_ = spark.createDataFrame(rows, "instrument_key string, seq long, as_of timestamp, price double, currency string")
+    stated = quotes_.withColumns({"statement_price": F.lit(10.0), "statement_currency": F.lit("GBP"), "statement_as_of": F.lit("2025-01-01").cast("timestamp")})
+    slices = [stated.where("seq <= 1"), stated.where("seq in (2, 3)"), stated.where("seq > 3")]
+    for parts in ([stated], slices):
+        got = jobs.drain_slices(parts, lambda s: jobs.gate_quotes(s, "string"), "gate")
+        assert [r.reason for r in got.orderBy("seq").collect()] == ["unexpected currency", None, None, "move too large", None]
+
+
 def test_single_quote_rules(spark):
     cols = "price double, currency string, as_of timestamp, expected_currency string, close_price double, prev_price double, prev_currency string, prev_as_of timestamp"
     t = dt.datetime(2025, 1, 2)
