@@ -5,7 +5,9 @@ a variable field from the start.  Below a leaf, a token is constant at its posit
 stands there in at least SUPPORT documents; everything else becomes a field, so that lines
 which differ in names or numbers share a template.  Templates made mostly of fields say
 nothing and are ignored.  A template that recurs in at least MIN_DOCS documents with
-different texts is boilerplate: its lines are dropped from every document.
+different texts is boilerplate: its lines are dropped from every document.  A line that recurs
+word for word needs no template: it is dropped from every document as soon as a second
+different text holds it, whatever its length, its digits and its fields.
 
 Leaves that too few documents reach are left out before any token is looked at, equal lines
 are counted once, and only hashes are shuffled until then.  The text travels once, to meet
@@ -39,17 +41,20 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFram
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """`_id`, `_doc`, `_pos`, `_tokens`, `_line` (hash of the tokens), `_leaf` (hash of the path) of each line with a word."""
+    """`_id`, `_doc`, `_pos`, `_tokens`, `_same` (hash of the words), `_line` (hash of the tokens), `_leaf` (hash of the path) of each line with a word."""
     lines = rows.select("_id", "_doc", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_raw")).where(F.col("_raw").rlike(r"[^\x20\x09-\x0D]"))
-    tokens = lines.select("_id", "_doc", "_pos", _masked(F.col("_raw")).alias("_tokens"))
+    words = lines.select("_id", "_doc", "_pos", "_raw", words_of(F.col("_raw")).alias("_words"))
+    masked = F.when(F.col("_raw").rlike("[0-9]"), _masked(F.col("_raw"))).otherwise(F.col("_words"))
+    tokens = words.select("_id", "_doc", "_pos", F.xxhash64("_words").alias("_same"), masked.alias("_tokens"))
     path = F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, DEPTH))
     return tokens.withColumns({"_line": F.xxhash64("_tokens", F.lit(1)), "_leaf": path})
 
 
-def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(slim lines `_id`, `_doc`, `_pos`, `_line`; hashes `_line` of the lines to drop), both staged."""
+def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(slim lines `_id`, `_doc`, `_pos`, `_same`, `_line`; hashes `_line` of the templates' lines to drop; hashes `_same` of lines in two texts), all staged."""
     lines = _lines(_keyed(df, id_col, text_col))
-    slim = stage(lines.select("_id", "_doc", "_pos", "_line", "_leaf"), "lines")
+    slim = stage(lines.select("_id", "_doc", "_pos", "_same", "_line", "_leaf"), "lines")
+    shared = stage(slim.groupBy("_same").agg(F.min("_doc").alias("_a"), F.max("_doc").alias("_b")).where("_a < _b").select("_same"), "shared-lines")
     seen = stage(slim.select("_doc", "_line", "_leaf").distinct(), "document-lines")
     leaves = seen.select("_leaf", "_doc").distinct().groupBy("_leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_DOCS).select("_leaf")
     leaves = stage(leaves, "leaves")
@@ -66,13 +71,15 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shaped = stage(shaped.select("_line", F.xxhash64("_leaf", "_shape").alias("_template")), "templates")
     reach = seen.select("_doc", "_line").join(shaped, "_line").select("_template", "_doc").distinct()
     often = reach.groupBy("_template").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_DOCS)
-    return slim, stage(shaped.join(often, "_template", "left_semi").select("_line").distinct(), "recurring")
+    recurring = stage(shaped.join(often, "_template", "left_semi").select("_line").distinct(), "recurring")
+    return slim, recurring, shared
 
 
 def _cleaned(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """Rows with `_left`, the text without recurring lines, and the numbers of lines and dropped ones."""
-    slim, recurring = recurring_lines(df, id_col, text_col)
-    drop = slim.select("_id", "_doc", "_pos", "_line").join(recurring, "_line", "left_semi")
+    slim, recurring, shared = recurring_lines(df, id_col, text_col)
+    drop = slim.join(recurring.withColumn("_by_template", F.lit(True)), "_line", "left").join(shared.withColumn("_by_words", F.lit(True)), "_same", "left")
+    drop = drop.where("_by_template or _by_words")
     drop = drop.groupBy(F.col("_id").alias("_i"), F.col("_doc").alias("_d")).agg(F.collect_set("_pos").alias("_drop"))
     rows = _keyed(df, id_col, text_col, *more).join(drop, F.expr("_id <=> _i and _doc = _d"), "left")
     rows = rows.withColumns({"_gone": F.coalesce("_drop", F.array().cast("array<int>")), "_raw": F.split("_text", "\n", -1)})

@@ -173,6 +173,14 @@ def test_line_templates(spark):
     assert left[90] is None and left[3] == "\n".join(x for x in rows[3][1].split("\n") if not x.startswith("Copyright"))
 
 
+def test_long_line_in_two_texts(spark):
+    passage = " ".join(f"w{i}x" for i in range(60))
+    rows = [(i, f"{prose(EN, 40)}\n{line}\n{prose(DE, 40)}") for i, line in enumerate([passage, passage.replace(" ", "  "), passage + " more"])]
+    rows += [(3, "twice in one text\ntwice in one text"), (4, "twice in one text\ntwice in one text")]
+    got = {r.doc_id: r for r in templates.template_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_dropped for i in range(5)] == [1, 1, 0, 0, 0]
+
+
 def test_languages(docs, spark):
     got = language.languages(docs).collect()
     assert len(got) == len(ROWS)
