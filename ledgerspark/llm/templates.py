@@ -4,7 +4,7 @@ The tree has a fixed depth: token count, then the first DEPTH tokens.  A token w
 a variable field from the start.  Below a leaf, a token is constant at its position if it
 stands there in at least SUPPORT documents; everything else becomes a field, so that lines
 which differ in names or numbers share a template.  Templates made mostly of fields say
-nothing and are ignored.  A template that recurs in at least MIN_DOCS documents with
+nothing and are ignored, which says nothing of identical lines.  A template that recurs in at least MIN_DOCS documents with
 different texts is boilerplate: its lines are dropped from every document.  A line that recurs
 word for word needs no template: it is dropped from every document as soon as a second
 different text holds it, whatever its length, its digits and its fields.

@@ -181,6 +181,14 @@ def test_long_line_in_two_texts(spark):
     assert [got[i].n_dropped for i in range(5)] == [1, 1, 0, 0, 0]
 
 
+def test_identical_lines_of_fields(spark):
+    """Few or no constant tokens: no template, but the same line all the same."""
+    lines = ["Page 1 of 20", "Copyright 2020", "v1.2 build 345 released", "1 2 3 4", "Advertisement"]
+    rows = [(i, "\n".join([*lines, prose(EN, 20), f"{i}7 {i}8"])) for i in range(9)]
+    got = templates.template_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.n_lines, r.n_dropped) for r in got} == {(7, 5)}
+
+
 def test_languages(docs, spark):
     got = language.languages(docs).collect()
     assert len(got) == len(ROWS)
