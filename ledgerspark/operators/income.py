@@ -148,6 +148,14 @@ def matrix_wide(matrix: DataFrame, months: list[str]) -> DataFrame:
     return wide.fillna(0.0, months)
 
 
+def matrix_by_year(matrix: DataFrame) -> DataFrame:
+    """One row per instrument and year that has a payment, columns m01 to m12; absent cells are 0."""
+    names = [f"{i:02d}" for i in range(1, 13)]
+    cells = matrix.where(F.col("level") == "cell").withColumns({"year": F.substring("month", 1, 4), "_m": F.substring("month", 6, 2)})
+    wide = cells.groupBy("portfolio_id", "group_key", "year").pivot("_m", names).agg(F.first("amount")).fillna(0.0, names)
+    return wide.select("portfolio_id", "group_key", "year", *[F.col(m).alias(f"m{m}") for m in names])
+
+
 def display_symbols(instruments: DataFrame, overrides: DataFrame) -> DataFrame:
     """Symbol to print per instrument: the override when set, else the instrument's own."""
     own = instruments.select(*LEDGER, "symbol")

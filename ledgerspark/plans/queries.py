@@ -330,6 +330,15 @@ def _(spark, sf):
     return income.matrix_wide(m, months).select("portfolio_id", "group_key", *[F.round(F.col(f"`{c}`"), 2).alias(c) for c in months])
 
 
+@query("matrix_by_year", "v_pay", """
+SELECT portfolio_id, CASE group_key WHEN '__unknown' THEN '(unmatched)' ELSE group_key END AS group_key, strftime(pay_date, '%Y') AS year,
+       """ + ", ".join(f"round(coalesce(sum(gross) FILTER (month(pay_date) = {m}), 0e0), 2) AS m{m:02d}" for m in range(1, 13)) + """
+FROM v_pay GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    m = income.payments_matrix(A.distributions(spark, sf), _dist_settings(spark, sf), _rates(spark, sf))
+    return income.matrix_by_year(m).select("portfolio_id", "group_key", "year", *r6(*[f"m{i:02d}" for i in range(1, 13)], dp=2))
+
+
 @query("ttm_ex_date", "v_dist", """
 SELECT portfolio_id, instrument_key, round(sum(per_share), 6) AS ttm_per_share, count(*) AS payments FROM v_dist
 WHERE ex_date > DATE '2001-08-01' - 365 AND ex_date <= DATE '2001-08-01' AND NOT irregular GROUP BY 1, 2""")
