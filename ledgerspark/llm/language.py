@@ -1,6 +1,7 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word has a label, so a text may switch languages.  Emission scores sum learned weights
+Every word has a label, so a text may switch languages.  A word of more than PIECE bytes, as in
+texts without ASCII spaces, is cut into consecutive pieces, each of them a word with a label.  Emission scores sum learned weights
 of hashed features: the word itself (lexicon), prefixes and suffixes, and character n-grams.
 Transition scores are learned too, from passages of different languages joined at random
 places.  Forward-backward gives the expected number of words of each language; the
@@ -36,15 +37,29 @@ PASSAGES, PASSAGE_WORDS, SEED, STEPS = 400, 80, 11, 60
 DIMENSIONS = 1 << 16
 #: Rows whose texts are Python objects at a time.
 LABELLED_ROWS = 2000
+#: The most bytes of a word; longer ones are cut between characters.
+PIECE = 40
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that are no letters, other than spaces, are not part of words.
 _DROPPED = bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \t\n\x0b\x0c\r")
 
 
+def _pieces(word: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(word) - at > PIECE:
+        end = at + PIECE
+        while word[end] & 0xC0 == 0x80:
+            end -= 1
+        yield word[at:end]
+        at = end
+    yield word[at:]
+
+
 def word_list(text: str | None) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation and digits."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED).split()
+    """Lower-cased words without ASCII punctuation and digits, long ones in pieces."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED).split()
+    return words if max(map(len, words), default=0) <= PIECE else [p for w in words for p in _pieces(w)]
 
 
 def feature_ids(word: bytes) -> list[int]:
@@ -53,7 +68,7 @@ def feature_ids(word: bytes) -> list[int]:
     found = [b"w" + word]
     for k in range(1, min(4, n) + 1):
         found += (b"p" + word[:k], b"s" + word[-k:])
-    edged = b"^" + word[:40] + b"$"
+    edged = b"^" + word + b"$"
     found += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
     return [zlib.crc32(f) % DIMENSIONS for f in found]
 
