@@ -8,7 +8,8 @@ places.  Forward-backward gives the expected number of words of each language; t
 document's language is the one with the most, its score that share.
 
 Learning takes at most PASSAGES passages of PASSAGE_WORDS words per language, from documents
-chosen by a hash of their id; both are parameters.  Labelling covers whole texts.  Documents
+chosen by a hash of their id; both are parameters.  A passage of more than PASSAGE_CHARS
+characters, as of unspaced words, is cut to so many at a hashed place.  Labelling covers whole texts.  Documents
 of one batch advance together, longest first; each distinct word is scored once per task.
 
 Defined cases: a null text or one without a letter is `und` with score 0; texts of any length
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from ledgerspark.llm.common import held_out, stage, text_of, words_of
 from ledgerspark.llm.wordtable import MOST_WORDS, memory_returned, runs
 
-PASSAGES, PASSAGE_WORDS, SEED, STEPS = 400, 80, 11, 60
+PASSAGES, PASSAGE_WORDS, PASSAGE_CHARS, SEED, STEPS = 400, 80, 3200, 11, 60
 DIMENSIONS = 1 << 16
 #: Rows whose texts are Python objects at a time.
 LABELLED_ROWS = 2000
@@ -210,7 +211,7 @@ class Labeller:
 
 
 def passages(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = PASSAGES, n_words: int = PASSAGE_WORDS) -> list[tuple[str, list[bytes]]]:
-    """At most `per_language` passages of each language, from documents that may be learnt from."""
+    """At most `per_language` passages of each language, of at most PASSAGE_CHARS characters, from documents that may be learnt from."""
     rows = df.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), text_of(text_col).alias("_text"))
     rows = rows.where(F.col("_lang").isNotNull() & F.coalesce(~held_out(F.col("_id"), 5, 0), F.lit(True)))
     place = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(SEED)), "_id"))
@@ -219,7 +220,9 @@ def passages(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     chosen = rows.drop("_lang").join(F.broadcast(drawn), F.col("_id").eqNullSafe(F.col("_did")))
     words = chosen.select("_lang", "_id", words_of(F.col("_text")).alias("_w"))
     first = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.size("_w") - n_words + 1)).cast("int") + 1
-    found = words.select("_lang", F.array_join(F.slice("_w", first, n_words), " ").alias("_p")).collect()
+    passage = words.select("_lang", "_id", F.array_join(F.slice("_w", first, n_words), " ").alias("_p"))
+    begin = F.pmod(F.xxhash64("_id"), F.greatest(F.lit(1), F.length("_p") - PASSAGE_CHARS + 1)).cast("int") + 1
+    found = passage.select("_lang", F.col("_p").substr(begin, F.lit(PASSAGE_CHARS))).collect()
     return [(lang, w) for lang, p in sorted(map(tuple, found)) if (w := word_list(p))]
 
 

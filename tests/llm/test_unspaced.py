@@ -18,6 +18,12 @@ def test_language_after_the_first_bytes():
     assert names == ["kata", "hira"] and scores.min() > 0.8
 
 
+def test_passages_are_bounded(spark):
+    rows = [(i, unspaced(0x3042, 20_000, i), "hira") for i in range(12)] + [(99, "some plain words", "en")]
+    found = language.passages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert len({lang for lang, _ in found}) == 2 and all(0 < len(b"".join(w).decode()) <= language.PASSAGE_CHARS for _, w in found)
+
+
 def test_pieces_are_whole_characters():
     text = "a" + unspaced(0x3042, 100, 1) + "é" * 50
     assert b"".join(language.word_list(text)).decode() == text
