@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, templates, warc
+from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, sql, templates, turns, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +54,17 @@ def op10_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None =
         return repair.shard_report(_table(spark, sf_dir, "documents"), f.read())
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_sentencepiece, op3_quality_rules, op4_line_templates, op5_quality_classifier, op6_mixing, op7_warc, op8_minhash_near_dedup,
-        op9_language_id, op10_token_shards,
+        op9_language_id, op10_token_shards, op11_conversation_repair,
     )
 }
 
@@ -70,6 +74,7 @@ WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op6_mixing": mixing.ORACLE,
+    "op11_conversation_repair": sql.TURNS,
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS digest FROM p),
