@@ -31,26 +31,33 @@ empty result; further columns are not read.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.blocks import dealt, meetings
-from ledgerspark.llm.common import forget, lower_ascii, stage, text_of
-from ledgerspark.llm.wordtable import ranges
+from ledgerspark.llm.common import LOWER, UPPER, forget, stage, text_of
+from ledgerspark.llm.wordtable import memory_returned, ranges
 
-RUN = r"[A-Za-zÀ-ÿ]+"
 LEAST_LETTERS, LEAST_COUNT, DAMAGE, TIMES = 5, 3, 97, 2
+#: Whole runs of letters that can give a word.
+_RUN = re.compile(rf"[A-Za-zÀ-ÿ]{{{LEAST_LETTERS},}}")
+_LOWER = str.maketrans(UPPER, LOWER)
+#: Words that a task counts before it hands them on; texts of more characters are not listed run by run.
+MOST_COUNTED, _LONG = 500_000, 1 << 20
 DIMS, LEVELS = 32, 4
 CELL_WORDS, CELL_LETTERS, LEAF = 50_000, 4_000_000, 32
 #: Sampled words for each cell of a length, and the most cells of a length (blocks cut larger ones).
 SAMPLE, MOST_CELLS = 32, 1024
 #: Pairs that are compared at once, and rows of an Arrow batch.
-_PAIRS, _BATCH = 1 << 20, 4096
+_PAIRS, _BATCH, TEXT_ROWS = 1 << 20, 4096, 512
 SAME, SHORTER = 1, 2
 
 _DIM = np.zeros(256, np.int64)
@@ -75,8 +82,12 @@ def vectors(rows: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x[:, 0]) + np.bitwise_count(x[:, 1])
+def _apart(a: np.ndarray, b: np.ndarray, rows: np.ndarray, others: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of `a` and `b` whose vectors differ by at most `most`."""
+    for word in (0, 1):
+        close = np.bitwise_count(a[word][rows] ^ b[word][others]) <= most
+        rows, others = rows[close], others[close]
+    return rows, others
 
 
 class Tree:
@@ -146,11 +157,16 @@ class Tree:
     def search(self, queries: np.ndarray, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, leaf) of all boxes within `up` counts more and `down` counts less."""
         query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        asked, low, high = (np.ascontiguousarray(x.T) for x in (queries, self.low, self.high))
         out = []
         while len(query):
-            q = queries[query]
-            near = (_popcount(self.low[node] & ~q) <= up) & (_popcount(q & ~self.high[node]) <= down)
-            query, node = query[near], node[near]
+            more, less = np.zeros(len(query), np.uint8), np.zeros(len(query), np.uint8)
+            for word in (0, 1):
+                q = asked[word][query]
+                more += np.bitwise_count(low[word][node] & ~q)
+                less += np.bitwise_count(q & ~high[word][node])
+                near = (more <= up) & (less <= down)
+                query, node, more, less = query[near], node[near], more[near], less[near]
             leaf = self.leaves[node] >= 0
             out.append((query[leaf], self.leaves[node[leaf]]))
             query, node = query[~leaf], node[~leaf]
@@ -174,7 +190,7 @@ class Block:
         self.letters = letters(words)
         found = vectors(self.letters)
         self.tree = Tree(found, LEAF)
-        self.rows, self.found = self.tree.order, found[self.tree.order]
+        self.rows, self.found = self.tree.order, np.ascontiguousarray(found[self.tree.order].T)
         self.words, self.counts = words, counts
 
     def near(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -182,6 +198,7 @@ class Block:
         found = vectors(rows)
         up, down = 1, int(rows.shape[1] == self.letters.shape[1])
         query, leaf = self.tree.search(found, up, down)
+        found = np.ascontiguousarray(found.T)
         start, size = self.tree.starts[leaf], np.diff(self.tree.starts)[leaf]
         fit = max(1, _PAIRS // max(1, rows.shape[1] // 64))
         ends = np.cumsum(size)
@@ -191,9 +208,8 @@ class Block:
                 continue
             q = np.repeat(query[i:j], size[i:j])
             x = ranges(np.arange(len(self.rows)), start[i:j], size[i:j])
-            a, b = found[q], self.found[x]
-            close = (_popcount(b & ~a) <= up) & (_popcount(a & ~b) <= down)
-            q, x = q[close], self.rows[x[close]]
+            q, x = _apart(found, self.found, q, x, up + down)
+            x = self.rows[x]
             exact = _one_edit(rows[q], self.letters[x])
             yield q[exact], x[exact]
 
@@ -218,36 +234,36 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, role, table, rows in meetings(batches):
         if table is not held:
             held = table
-            words = table.column("word").to_pylist()
-            block, rank = Block(words, table.column("n").to_numpy()), _rank(words)
-        asked, asked_n = rows.column("word").to_pylist(), rows.column("n").to_numpy()
-        asked_rank = _rank(asked) if role == SHORTER else None
-        for q, x in block.near(letters(asked)):
+            words = table.column("word").combine_chunks()
+            block = Block(words.to_pylist(), table.column("n").to_numpy())
+            rank = _rank(block.words)
+        asked, asked_n = rows.column("word"), rows.column("n").to_numpy()
+        listed = asked.to_pylist()
+        for q, x in block.near(letters(listed)):
             if len(q):
                 yield _partial(asked, words, block.counts, *_best(q, x, block.counts, rank))
                 if role == SHORTER:
-                    yield _partial(words, asked, asked_n, *_best(x, q, asked_n, asked_rank))
+                    yield _partial(words, asked, asked_n, *_best(x, q, asked_n, _rank(listed)))
 
 
-def _partial(words: list[str], others: list[str], counts: np.ndarray, to: np.ndarray, near: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-    made = [pa.array([words[i] for i in to.tolist()], pa.string()), pa.array(near, pa.int64()), pa.array(counts[best], pa.int64()), pa.array([others[i] for i in best.tolist()], pa.string())]
+def _partial(words: pa.Array, others: pa.Array, counts: np.ndarray, to: np.ndarray, near: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
+    made = [words.take(pa.array(to)), pa.array(near, pa.int64()), pa.array(counts[best], pa.int64()), others.take(pa.array(best))]
     return pa.RecordBatch.from_arrays(made, ["word", "_near", "_best_n", "_best"])
 
 
-def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
     """(length, rows, words) of a batch."""
-    words = batch.column("word").to_pylist()
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    for n, rows in groupby(order, key=lambda i: len(words[i])):
-        rows = list(rows)
-        yield n, np.array(rows), [words[i] for i in rows]
+    lengths = pc.utf8_length(batch.column("word")).to_numpy()
+    for n in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == n)
+        yield n, rows, batch.column("word").take(pa.array(rows))
 
 
 def _homes(trees: dict[int, Tree]):
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n, _, words in _by_length(batch):
-                cell = trees[n].home(vectors(letters(words)))
+                cell = trees[n].home(vectors(letters(words.to_pylist())))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), n, np.int64)), pa.array(cell)], ["_part", "_cell"])
 
     return homes
@@ -263,25 +279,25 @@ def _deal(trees: dict[int, Tree], blocks: dict[tuple[int, int], int], spread: in
         for batch in batches:
             n_of = batch.column("n").to_numpy()
             for size, rows, words in _by_length(batch):
-                found, n = vectors(letters(words)), n_of[rows]
+                found, n = vectors(letters(words.to_pylist())), n_of[rows]
                 everyone = np.arange(len(words))
                 home = trees[size].home(found) if size in trees else np.zeros(len(words), np.int64)
-                # a large cell has several blocks; the vector's bits and the letters pick one for the home
-                pick = np.fromiter((hash_of(w) for w in words), np.int64, len(words))
-                yield _dealt_batch(size, 0, everyone, home, pick, blocks, spread, words, n)
+                yield _dealt_batch(size, 0, everyone, home, _own_block(size, home, words, blocks), spread, words, n)
                 for role, up, down, part in ((SAME, 1, 1, size), (SHORTER, 1, 0, size + 1)):
                     query, cell = trees[part].search(found, up, down) if part in trees else (everyone, np.zeros(len(words), np.int64))
-                    yield from (_dealt_batch(part, role, q, c, b, blocks, spread, words, n) for q, c, b in _all_blocks(part, query, cell, blocks))
+                    yield from (_dealt_batch(part, role, q, c, b, spread, words, n) for q, c, b in _all_blocks(part, query, cell, blocks))
 
     return deal
 
 
-def hash_of(word: str) -> int:
-    """A stable small hash."""
-    h = 0
-    for c in word[-64:]:
-        h = (h * 131 + ord(c)) % 1_000_003
-    return h
+def _own_block(part: int, cell: np.ndarray, words: pa.Array, blocks: dict[tuple[int, int], int]) -> np.ndarray:
+    """The block of a word's home cell: its checksum picks one where a cell has several."""
+    own = np.zeros(len(cell), np.int64)
+    for (length, large), count in blocks.items():
+        if length == part:
+            for i in np.flatnonzero(cell == large).tolist():
+                own[i] = zlib.crc32(words[i].as_py().encode()) % count
+    return own
 
 
 def _all_blocks(part: int, query: np.ndarray, cell: np.ndarray, blocks: dict[tuple[int, int], int]) -> Iterator[tuple]:
@@ -293,28 +309,44 @@ def _all_blocks(part: int, query: np.ndarray, cell: np.ndarray, blocks: dict[tup
                 yield query[hit], cell[hit], np.full(int(hit.sum()), extra)
 
 
-def _dealt_batch(part: int, role: int, rows: np.ndarray, cell: np.ndarray, pick: np.ndarray, blocks: dict, spread: int, words: list[str], n: np.ndarray) -> pa.RecordBatch:
-    if role == 0:
-        count = np.ones(len(cell), np.int64)
-        for (length, large), k in blocks.items():
-            if length == part:
-                count[cell == large] = k
-        pick = pick % count
-    made = [
-        pa.array(np.full(len(rows), part, np.int64)), pa.array(cell * spread + pick), pa.array(np.full(len(rows), role, np.int32)), pa.array([words[i] for i in rows.tolist()], pa.string()),
-        pa.array(n[rows]),
-    ]
+def _dealt_batch(part: int, role: int, rows: np.ndarray, cell: np.ndarray, block: np.ndarray, spread: int, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    made = [pa.array(np.full(len(rows), part, np.int64)), pa.array(cell * spread + block), pa.array(np.full(len(rows), role, np.int32)), words.take(pa.array(rows)), pa.array(n[rows])]
     return pa.RecordBatch.from_arrays(made, ["_part", "_block", "_role", "word", "n"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`word`, `n`: what the runs of a text leave, added up for MOST_COUNTED of them at a time.
+
+    A run's checksum goes on from that of what stands before it.
+    """
+    with memory_returned():
+        words, counts, crc32 = [], [], zlib.crc32
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                found = Counter((m[0] for m in _RUN.finditer(text)) if len(text) > _LONG else _RUN.findall(text))
+                start = crc32(f"{doc}:".encode())
+                for run in found:
+                    run = run.lower() if run.isascii() else run.translate(_LOWER)
+                    h = crc32(run.encode(), start)
+                    words.append(run if h % DAMAGE else run[: h % len(run)] + run[h % len(run) + 1 :])
+                counts += found.values()
+                if len(words) > MOST_COUNTED:
+                    yield from _added_up(words, counts)
+                    words, counts = [], []
+        yield from _added_up(words, counts)
+
+
+def _added_up(words: list[str], counts: list[int]) -> list[pa.RecordBatch]:
+    table = pa.table([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+    sums = table.group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"word": "word", "n_sum": "n"}).select(["word", "n"])
+    return sums.filter(pc.greater_equal(pc.utf8_length(sums.column("word")), LEAST_LETTERS)).combine_chunks().to_batches()
+
+
 def words_of_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(`word`, `n`) of the words long and frequent enough, damaged runs included as what is left of them."""
-    runs = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.explode(F.regexp_extract_all(lower_ascii(text_of(text_col)), F.lit(RUN), F.lit(0))).alias("_run"))
-    h = F.crc32(F.concat("_id", F.lit(":"), "_run").cast("binary"))
-    at = (h % F.length("_run")).cast("int")
-    cut = F.concat(F.substring("_run", F.lit(1), at), F.substring("_run", at + 2, F.length("_run")))
-    words = runs.select(F.when(h % DAMAGE == 0, cut).otherwise(F.col("_run")).alias("word"))
-    return words.where(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
+    texts = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), text_of(text_col).alias("_text"))
+    return texts.mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 def near_words(words: DataFrame, cell_words: int = CELL_WORDS, cell_letters: int = CELL_LETTERS) -> DataFrame:
@@ -359,7 +391,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_words: int = CELL_WORDS, cell_letters: int = CELL_LETTERS) -> DataFrame:
     """A row per word: word, form, root, n, n_near, form_n."""
-    words = stage(words_of_corpus(df, id_col, text_col), "words")
+    words = stage(words_of_corpus(df, id_col, text_col), "words", TEXT_ROWS)
     near = near_words(words, cell_words, cell_letters)
     sure = F.col("_best_n") >= TIMES * F.col("n")
     full = words.join(near, "word", "left").select("word", "n", F.coalesce("_near", F.lit(0)).cast("long").alias("n_near"), F.when(sure, F.col("_best")).alias("form"), F.when(sure, F.col("_best_n")).alias("form_n"))
