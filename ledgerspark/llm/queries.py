@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, spelling, sql, templates, turns, warc
+from ledgerspark.llm import exact, language, mixing, near, pieces, quality_rules, ranker, repair, spelling, sql, templates, turns, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_report(_table(spark, sf_dir, "conversations"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_sentencepiece, op3_quality_rules, op4_line_templates, op5_quality_classifier, op6_mixing, op7_warc, op8_minhash_near_dedup,
-        op9_language_id, op10_token_shards, op11_conversation_repair, op13_spelling_variants,
+        op9_language_id, op10_token_shards, op11_conversation_repair, op12_nearest_neighbours, op13_spelling_variants,
     )
 }
 
