@@ -83,6 +83,7 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
     "op6_mixing": mixing.ORACLE,
     "op11_conversation_repair": sql.TURNS,
+    "op13_spelling_variants": sql.SPELLING,
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS n, sha256(h) AS digest FROM p),

@@ -65,3 +65,27 @@ SELECT c.conv_id, CAST(coalesce(s.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank,
        sha256(coalesce(left(e.best.lines, length(e.best.lines) - 1), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) AS c
 LEFT JOIN sums AS s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE},
+found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS mark, run, count(*) AS n FROM found WHERE length(run) >= 5 GROUP BY ALL),
+octets AS (
+  SELECT run, n, flatten(list_transform(string_split(mark, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes
+  FROM runs),
+hashed AS (SELECT run, n, {crc32("bytes")} AS h FROM octets, crc_table),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+shorter AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS less FROM words, range(1, length(word) + 1) AS places(i)),
+links AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM shorter AS a JOIN shorter AS b USING (less, i) WHERE a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter AS s JOIN words AS w ON w.word = s.less
+  UNION SELECT w.word, s.word, s.n FROM shorter AS s JOIN words AS w ON w.word = s.less),
+near AS (SELECT word, count(*) AS n_near, min({{'n': -other_n, 'word': other}}) AS best FROM links GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 2 * w.n THEN best.word END AS form, CASE WHEN -best.n >= 2 * w.n THEN -best.n END AS form_n
+  FROM words AS w LEFT JOIN near USING (word)),
+chains AS (SELECT word, word AS root FROM forms UNION SELECT c.word, f.form FROM chains AS c JOIN forms AS f ON f.word = c.root WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.root FROM chains AS c JOIN forms AS f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms AS f JOIN ends USING (word)"""
