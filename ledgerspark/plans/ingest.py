@@ -35,8 +35,11 @@ class Bundle:
 def derive_files(files: DataFrame) -> Bundle:
     """Parse and derive a batch; `files`: portfolio_id, path, text."""
     raw = statements.parse(files)
-    rows = cut_lineage(with_cells(raw.rows.drop("raw_type")))  # read by every branch below
-    heads = cut_lineage(raw.files)
+    return derive_rows(cut_lineage(raw.files), cut_lineage(with_cells(raw.rows.drop("raw_type"))), raw.warnings)  # read by every branch
+
+
+def derive_rows(heads: DataFrame, rows: DataFrame, parse_warnings: DataFrame | None) -> Bundle:
+    """Derive from raw files and rows, parsed just now or stored before."""
     ctx = derive.context(heads, rows)
     ctx.keyed = cut_lineage(ctx.keyed)
     tx = cut_lineage(derive.transactions(ctx))
@@ -44,7 +47,9 @@ def derive_files(files: DataFrame) -> Bundle:
     dist = cut_lineage(dist)
     cash = cut_lineage(derive.cash_events(ctx, lone))
     checks = reconcile.positions(ctx).unionByName(reconcile.cash(ctx, dist, cash)).unionByName(reconcile.accruals(ctx)).unionByName(reconcile.trades(ctx, tx))
-    warned = raw.warnings.unionByName(section_warnings(rows)).unionByName(derive.trade_warnings(ctx))
+    warned = section_warnings(rows).unionByName(derive.trade_warnings(ctx))
+    if parse_warnings is not None:
+        warned = parse_warnings.unionByName(warned)
     return Bundle(
         heads, rows, ctx.instruments, tx.drop("bucket"), dist, derive.accrual_rows(ctx), cash, derive.positions(ctx), derive.recovered_rates(ctx),
         checks, warned.groupBy("file_id", "warn_key").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n")),
@@ -144,10 +149,20 @@ def merge_accruals(rows: DataFrame, imported: DataFrame, *, parity: bool = False
     at = F.struct("imported_at", "file_id", "line_no")
     keep = [c for c in rows.columns if c not in ("portfolio_id", "id")]
     tagged = rows.join(imported.select("file_id", "imported_at"), "file_id")
-    once = tagged.groupBy("portfolio_id", "id").agg(F.min_by(F.struct(*keep), at).alias("r")).select("portfolio_id", "id", "r.*")
+    return net_once(tagged.groupBy("portfolio_id", "id").agg(F.min_by(F.struct(*keep), at).alias("r")).select("portfolio_id", "id", "r.*"))
+
+
+def net_once(once: DataFrame) -> DataFrame:
+    """Netted accruals of rows that are there once."""
     return derive.net_accruals(once.drop("id"), ["portfolio_id"]).withColumn("superseded_at", F.lit(None).cast("timestamp"))
 
 
+def merge_rates(rows: DataFrame, imported: DataFrame) -> DataFrame:
+    """Rates that statements state, the first import of each day wins."""
+    dated = rows.join(imported.select("file_id", "imported_at"), "file_id")
+    return dated.groupBy("base", "quote", "date").agg(F.min_by("rate", F.struct("imported_at", "file_id")).alias("rate"))
+
+
 def adopted_base(raw_files: DataFrame, imported: DataFrame) -> DataFrame:
     """Base currency of a portfolio: stated by its first file, when it is a currency code."""
     first = raw_files.join(imported.select("file_id", "imported_at"), "file_id").groupBy("portfolio_id").agg(
@@ -182,12 +197,10 @@ class Ledger:
 
 
 def merge(bundle: Bundle, imported: DataFrame, *, parity: bool = False) -> Ledger:
-    dated = bundle.fx_rates.join(imported.select("file_id", "imported_at"), "file_id")
-    rates = dated.groupBy("base", "quote", "date").agg(F.min_by("rate", F.struct("imported_at", "file_id")).alias("rate"))
     return Ledger(
         merge_instruments(bundle.instruments, imported), merge_events(bundle.transactions, imported), merge_events(bundle.distributions, imported),
         merge_accruals(bundle.accrual_rows, imported, parity=parity), merge_events(bundle.cash_events, imported),
-        merge_positions(bundle.positions, imported), rates, adopted_base(bundle.raw_files, imported),
+        merge_positions(bundle.positions, imported), merge_rates(bundle.fx_rates, imported), adopted_base(bundle.raw_files, imported),
     )
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.numeric import exact_sum
-from ledgerspark.operators import dedupe, forecast, fx, holdings, income, lots, quotes, rank, returns
+from ledgerspark.operators import dedupe, forecast, fx, holdings, income, lots, quotes, rank, returns, scan
 from ledgerspark.plans import adapters as A
 from ledgerspark.plans import ingest
 from ledgerspark.plans.oracle_views import sql
+from ledgerspark.plans.store import EventStore
 from ledgerspark.plans.portfolio import Portfolio, Tables
 from ledgerspark.sources import statements
 from ledgerspark.streaming import jobs
@@ -320,14 +321,16 @@ def _(spark, sf):
     return m.select("portfolio_id", "group_key", "month", *r6("amount", dp=2), "missing_fx", "level")
 
 
+_MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]  # every month that orders span
+
+
 @query("matrix_wide", "v_pay", """
 SELECT portfolio_id, CASE group_key WHEN '__unknown' THEN '(unmatched)' ELSE group_key END AS group_key,
-       """ + ", ".join(f"round(coalesce(sum(gross) FILTER (strftime(pay_date, '%Y-%m') = '1999-{m:02d}'), 0e0), 2) AS \"1999-{m:02d}\"" for m in range(1, 13)) + """
+       """ + ", ".join(f"round(coalesce(sum(gross) FILTER (strftime(pay_date, '%Y-%m') = '{m}'), 0e0), 2) AS \"{m}\"" for m in _MONTHS) + """
 FROM v_pay GROUP BY 1, 2""")
 def _(spark, sf):
     m = income.payments_matrix(A.distributions(spark, sf), _dist_settings(spark, sf), _rates(spark, sf))
-    months = [f"1999-{i:02d}" for i in range(1, 13)]
-    return income.matrix_wide(m, months).select("portfolio_id", "group_key", *[F.round(F.col(f"`{c}`"), 2).alias(c) for c in months])
+    return income.matrix_wide(m, _MONTHS).select("portfolio_id", "group_key", *[F.round(F.col(f"`{c}`"), 2).alias(c) for c in _MONTHS])
 
 
 @query("matrix_by_year", "v_pay", """
@@ -727,6 +730,153 @@ def _statement_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _statement_text(lines: DataFrame, made: F.Column) -> DataFrame:
+    """Files (`batch`, `portfolio_id`, `path`, `text`) of trade lines: `batch`, `portfolio_id`, `path`, `line`; `made` is the time of the export."""
+    head = F.concat(
+        F.lit("Statement,Header,Field Name,Field Value\nStatement,Data,Period,2001\nStatement,Data,WhenGenerated,"), made,
+        F.lit("\nAccount Information,Header,Field Name,Field Value\nAccount Information,Data,Base Currency,USD\n"),
+        F.lit("Trades,Header,DataDiscriminator,Asset Category,Currency,Symbol,Date/Time,Quantity,T. Price,Proceeds,Comm/Fee,Code\n"),
+    )
+    files = lines.groupBy("batch", "portfolio_id", "path").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    return files.select("batch", "portfolio_id", "path", F.concat(head, "lines").alias("text"))
+
+
+def _statement_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Five batches of statements of two portfolios, some of which overlap.
+
+    A block of 500 order keys is a statement of batch block % 5; 250 keys of it and 250 of the
+    next one are another statement, a batch later for every third block.
+    """
+    li = A.table(spark, sf, "lineitem")
+    q = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast("long")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    line = F.concat_ws(
+        ",", F.lit("Trades,Data,Order,Stocks"), F.lit("USD"), F.concat(F.lit("T"), (F.col("l_partkey") % 20).cast("string")),
+        F.concat(F.lit('"'), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(', 00:00:00"')), q.cast("string"),
+        (cents / F.lit(100)).cast("decimal(18,2)").cast("string"), F.lit("0,0"), F.lit("O"),
+    )
+    block = F.floor(F.col("l_orderkey") / 500).cast("long")
+    middle = F.floor((F.col("l_orderkey") - 250) / 500).cast("long")
+    lines = li.select(line.alias("line"), F.explode(F.array(F.struct(block.alias("block"), F.lit("whole").alias("kind")), F.struct(middle.alias("block"), F.lit("across").alias("kind")))).alias("f"))
+    lines = lines.select("line", "f.*").where("kind = 'whole' or (block >= 0 and block % 3 = 0)")
+    late = F.when(F.col("kind") == "across", 1).otherwise(0)
+    rows = lines.select(
+        ((F.col("block") + late) % 5).alias("batch"), F.when(F.col("block") % 6 < 3, "north").otherwise("south").alias("portfolio_id"),
+        F.concat("kind", F.lpad(F.col("block").cast("string"), 9, "0")).alias("path"), "line",
+    )
+    return _statement_text(rows, F.lit("\"2002-01-02, 10:00:00 EST\""))
+
+
+#: The same statements in SQL: v_lines has a row per file and distinct fill with its number of copies.
+_BATCHES_SQL = """
+WITH f AS (
+  SELECT CAST(floor(l_orderkey / 500) AS BIGINT) AS block, 'whole' AS kind, * FROM lineitem
+  UNION ALL SELECT CAST(floor((l_orderkey - 250) / 500) AS BIGINT), 'across', * FROM lineitem WHERE l_orderkey >= 250 AND CAST(floor((l_orderkey - 250) / 500) AS BIGINT) % 3 = 0),
+lines AS (
+  SELECT (block + CASE kind WHEN 'across' THEN 1 ELSE 0 END) % 5 AS batch, CASE WHEN block % 6 < 3 THEN 'north' ELSE 'south' END AS portfolio_id, kind || lpad(CAST(block AS VARCHAR), 9, '0') AS path,
+         'T' || CAST(l_partkey % 20 AS VARCHAR) AS instrument_key, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity,
+         round(l_extendedprice, 2) AS price, count(*) AS n
+  FROM f GROUP BY ALL)
+"""
+
+
+def _only_trades(files: DataFrame) -> dict[str, DataFrame]:
+    """Raw files and fills of a batch; the statements made here have no other section."""
+    tx = ingest.derive_transactions(files)
+    heads = statements.identify(files).select("portfolio_id", "path", "file_id", "canonical_id")
+    return {"raw_files": heads, "transactions": tx}
+
+
+_STORES: dict[tuple[str, str], tuple[EventStore, DataFrame]] = {}
+
+
+def _arriving(files: DataFrame, batch: int) -> DataFrame:
+    """The files of a batch; those of the batch before come once more under other names."""
+    again = files.where(F.col("batch") == batch - 1).withColumn("path", F.concat(F.lit("again-"), "path"))
+    return files.where(F.col("batch") == batch).unionByName(again).drop("batch")
+
+
+def _loaded(spark: SparkSession, sf: str) -> tuple[EventStore, DataFrame]:
+    """(store, files) after all batches went through the stream, one after the other; loaded once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        files = scan.cut_lineage(_statement_batches(spark, sf))
+        root, source, log = (jobs.scratch(spark, f"statements-{x}") for x in ("store", "in", "log"))
+        store = EventStore.open(spark, root, portfolios=4, ids=4)
+        for batch in range(5):
+            new = _arriving(files, batch)
+            new.write.mode("append").parquet(source)
+            jobs.ingest_statements(spark.readStream.schema(new.schema).parquet(source), store, log, _only_trades).awaitTermination()
+        _STORES[key] = store, files
+    return _STORES[key]
+
+
+def _fills(store: EventStore) -> DataFrame:
+    """Distinct fills with the number of events, reports, and the file whose report counts for the first of them."""
+    by = ["portfolio_id", "instrument_key", "date", "quantity", "price"]
+    paths = store.table("raw_files").select("file_id", "path")
+    rows = store.table("transactions").withColumn("price", F.round("price", 2)).join(paths, "file_id")
+    at = F.when(F.col("first"), F.struct("batch", "imported_at", "path"))
+    return rows.groupBy(*by).agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("reports"), F.min(at)["path"].alias("first_path"))
+
+
+@query("stream_ingest", "", _BATCHES_SQL + """
+SELECT portfolio_id, instrument_key, date, quantity, price, max(n) AS n, CAST(sum(n) AS BIGINT) AS reports, arg_min(path, {'b': batch, 'p': path}) AS first_path FROM lines GROUP BY 1, 2, 3, 4, 5""")
+def _(spark, sf):
+    """Statements arrive in five batches, with overlaps and repeated files; a batch already loaded is replayed at the end."""
+    store, files = _loaded(spark, sf)
+    store.load(_arriving(files, 3), 3, _only_trades)
+    return _fills(store)
+
+
+@query("statement_outcomes", "", _BATCHES_SQL + """
+, seen AS (SELECT *, coalesce(max(n) OVER (PARTITION BY portfolio_id, instrument_key, date, quantity, price ORDER BY batch, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines),
+loaded AS (SELECT batch, portfolio_id, path, CAST(sum(greatest(n - before, 0)) AS BIGINT) AS added, CAST(sum(least(n, before)) AS BIGINT) AS skipped FROM seen GROUP BY 1, 2, 3)
+SELECT portfolio_id, path, CASE WHEN skipped > 0 THEN 'partial-overlap' ELSE 'imported' END AS outcome, added, skipped FROM loaded
+UNION ALL SELECT portfolio_id, 'again-' || path, 'duplicate-exact', 0, 0 FROM loaded WHERE batch < 4
+UNION ALL SELECT portfolio_id, 'made-anew-' || path, 'duplicate-regenerated', 0, 0 FROM loaded""")
+def _(spark, sf):
+    """What each file added, found stored already, or was left out as; at last all files exported anew come in."""
+    store, files = _loaded(spark, sf)
+    anew = files.withColumns({"path": F.concat(F.lit("made-anew-"), "path"), "text": F.replace("text", F.lit("2002-01-02, 10"), F.lit("2002-03-04, 11"))})
+    store.load(anew.drop("batch"), 5, _only_trades)
+    return store.table("outcomes").select("portfolio_id", "path", "outcome", "added", "skipped")
+
+
+@query("statement_delete", "", _BATCHES_SQL + """
+SELECT portfolio_id, instrument_key, date, quantity, price, max(n) AS n, CAST(sum(n) AS BIGINT) AS reports, arg_min(path, {'b': batch, 'p': path}) AS first_path
+FROM lines WHERE NOT (path LIKE 'whole%' AND batch IN (0, 3)) GROUP BY 1, 2, 3, 4, 5""")
+def _(spark, sf):
+    """From a compacted copy, the whole statements of the first and the fourth batch are taken out; what overlapping ones also report stays."""
+    store, files = _loaded(spark, sf)
+    copy = store.compact(jobs.scratch(spark, "statements-compact"))
+    out = files.where("path like 'whole%' and batch in (0, 3)").select("portfolio_id", "path")
+    copy.delete_files(copy.table("raw_files").join(out, ["portfolio_id", "path"], "left_semi"))
+    return _fills(copy)
+
+
+@query("stream_recompute", "", """
+SELECT o_orderpriority || '/' || o_orderstatus AS portfolio_id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2)) * CASE o_orderstatus WHEN 'O' THEN 2 ELSE 1 END) AS DOUBLE) AS total, count(*) AS orders
+FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+def _(spark, sf):
+    """Totals per portfolio, kept up by a stream of changed portfolios: some lose all their rows, some have corrected amounts."""
+    source, target, feed, log = (jobs.scratch(spark, f"recompute-{x}") for x in ("source", "target", "feed", "log"))
+    orders = A.table(spark, sf, "orders").select(
+        F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("portfolio_id"), "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("amount")
+    )
+
+    def totals(t: dict[str, DataFrame]) -> DataFrame:
+        return t["orders"].groupBy("portfolio_id").agg(F.sum("amount").cast("double").alias("total"), F.count(F.lit(1)).alias("orders"))
+
+    corrected = orders.where("o_orderstatus != 'P'").withColumn("amount", (F.col("amount") * F.when(F.col("o_orderstatus") == "O", 2).otherwise(1)).cast("decimal(18,2)"))
+    for version, changed in ((orders, orders), (corrected, orders.where("o_orderstatus in ('O', 'P')"))):
+        jobs.write_bucketed(version, source)
+        changed.select("portfolio_id").distinct().write.mode("append").parquet(feed)
+        changes = spark.readStream.schema("portfolio_id string").parquet(feed)
+        jobs.recompute_stream(changes, lambda: {"orders": spark.read.parquet(source)}, totals, target, log).awaitTermination()
+    return spark.read.parquet(target).drop("bucket")
+
+
 @query("statement_trades", "", """
 SELECT 'T' || CAST(l_partkey % 20 AS VARCHAR) AS instrument_key, CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS quantity,
        round(l_extendedprice, 2) AS price, count(*) AS n FROM lineitem GROUP BY 1, 2, 3, 4""")
