@@ -21,7 +21,6 @@ learnt from; an empty table gives an empty result; other columns are not read by
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +40,6 @@ LABELLED_ROWS = 2000
 #: The most bytes of a word; longer ones are cut between characters.
 PIECE = 40
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII characters that are no letters, other than spaces, are not part of words.
 _DROPPED = bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \t\n\x0b\x0c\r")
 
@@ -198,7 +196,7 @@ class Labeller:
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         # texts of like length together: a step advances all texts of a part
-        order = sorted((i for i, t in enumerate(texts) if t and _LETTER.search(t)), key=lambda i: -len(texts[i]))
+        order = sorted((i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))), key=lambda i: -len(texts[i]))
         for part in runs([len(texts[i]) for i in order], 1 << 20):
             words = {i: w for i in order[part] if (w := word_list(texts[i]))}
             if not words:

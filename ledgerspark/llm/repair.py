@@ -27,6 +27,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from tokenizers import Tokenizer
 from ledgerspark.llm.common import new_folder, stage
 from ledgerspark.llm.wordtable import WordTable, runs
 
-END_ID, SHARD_IDS, ROUNDS, LEAST_COUNT, MOST_NEW = 1, 1 << 20, 5, 16, 8192
+END_ID, SHARD_IDS, LEAST_COUNT = 1, 1 << 20, 16
 _HEAD = struct.Struct("<4sQIIIQQ")  # magic, length of all, documents, rules, first new symbol, symbols, ids
 _MAGIC = b"RPS1"
 #: Words a worker keeps, and words given to the library as one text.
@@ -53,11 +54,14 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
     return (pairs ^ (pairs >> 26)) & (_SLOTS - 1)
 
 
-def grammar(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, last-of-document marks, rules) of `ids`; `last` marks the end of each document."""
+def grammar(ids: np.ndarray, last: np.ndarray, first_new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, last-of-document marks, rules) of `ids`; `last` marks the end of each document.
+
+    Rounds go on until no pair within a document occurs LEAST_COUNT times.
+    """
     seq, rules = ids.astype(np.int64), [np.empty((0, 2), np.int64)]
     made = 0
-    for turn in range(rounds):
+    for turn in count():
         if len(seq) < 2:
             break
         code = (seq[:-1] << 32) | seq[1:]
@@ -70,8 +74,6 @@ def grammar(ids: np.ndarray, last: np.ndarray, first_new: int, rounds: int = ROU
             break
         counts, pairs = counts[usable], pairs[usable]
         chosen = np.flatnonzero(counts >= (counts.max() // 2 if turn < 2 else LEAST_COUNT))
-        if len(chosen) > MOST_NEW:  # the rest waits for a later round
-            chosen = np.sort(chosen[np.argsort(-counts[chosen], kind="stable")[:MOST_NEW]])
         pairs = pairs[chosen]
         # most pairs are none of the chosen ones; a small hashed table tells so for nearly all of them
         named = np.zeros(_SLOTS, bool)

@@ -19,6 +19,9 @@ empty table gives no records; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -133,6 +136,26 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     Size and digest are taken from the payload itself; a revisit takes those of the response
     that it refers to and that holds the digest it declares.
     """
+    with _same_splits(spark):
+        return _read(spark, folder)
+
+
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """All scans meanwhile cut the archives alike, whatever cores come or go.
+
+    Segments are named by split and place, and the archives are scanned more than once.
+    """
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def _read(spark: SparkSession, folder: str) -> DataFrame:
     segments = _segments(spark, folder)
     cut = _candidates(segments)
     chain = on_chain(cut).withColumn("_good", F.lit(True))
