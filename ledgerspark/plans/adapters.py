@@ -120,6 +120,22 @@ def quotes_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quote_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes in order of arrival, with what a gate must refuse: late, in another unit or currency, without one, not positive."""
+    e = table(spark, sf_dir, "events")
+    n, user, ts = F.col("event_id"), F.col("user_id"), F.col("ts").cast("timestamp")
+    own = F.when(user % 3 == 0, "USD").when(user % 3 == 1, "EUR").otherwise("GBP")
+    price = (F.lit(50.0) + F.col("value") / 2) * F.when(n % 41 == 0, 100.0).when(n % 53 == 0, -1.0).otherwise(1.0)
+    stated = user % 5 < 2
+    return e.select(
+        user.alias("instrument_key"), n.alias("seq"), F.when(n % 7 == 0, ts + F.expr("INTERVAL 3 DAYS")).otherwise(ts).alias("arrived_at"),
+        F.when(n % 101 != 0, ts).alias("as_of"), price.alias("price"),
+        F.when(n % 31 == 0, "CHF").when(n % 59 == 0, "").when(n % 2 == 0, F.lower(own)).otherwise(own).alias("currency"),
+        F.when(user % 4 == 1, own).alias("expected_currency"), F.when(stated, 60.0 + user % 40).alias("statement_price"),
+        F.when(stated & (user % 2 == 0), own).alias("statement_currency"), F.when(stated, F.lit("2024-01-15").cast("timestamp")).alias("statement_as_of"),
+    )
+
+
 def positions(transactions: DataFrame) -> DataFrame:
     """Two year-end style snapshots of the signed ledger quantity, off by one share for some."""
     dates = F.array(F.lit("1998-06-30").cast("date"), F.lit("2000-12-31").cast("date"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.numeric import exact_sum
-from ledgerspark.operators import dedupe, forecast, fx, holdings, income, lots, quotes, rank, returns, scan
+from ledgerspark.operators import dedupe, forecast, fx, gate, holdings, income, lots, quotes, rank, returns, scan
 from ledgerspark.plans import adapters as A
 from ledgerspark.plans import ingest
 from ledgerspark.plans.oracle_views import sql
@@ -623,9 +623,35 @@ g AS (SELECT instrument_key, seq, price, rn, true AS accepted, price AS state FR
   UNION ALL
   SELECT f.instrument_key, f.seq, f.price, f.rn, abs(f.price / g.state - 1) <= 0.2e0, CASE WHEN abs(f.price / g.state - 1) <= 0.2e0 THEN f.price ELSE g.state END
   FROM g JOIN f ON f.instrument_key = g.instrument_key AND f.rn = g.rn + 1)
-SELECT instrument_key, seq, round(price, 6) AS price, accepted FROM g""")
+SELECT instrument_key, seq, round(price, 6) AS price, accepted, CASE WHEN NOT accepted THEN 'move too large' END AS reason FROM g""")
+def _(spark, sf):
+    return gate.gate_sequence(A.quotes_feed(spark, sf)).select("instrument_key", "seq", *r6("price"), "accepted", "reason")
+
+
+@query("quote_gate_arrivals", "", """
+WITH RECURSIVE e AS (SELECT *, CASE user_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS own FROM events),
+f AS (
+  SELECT user_id AS k, event_id AS seq, (50e0 + value / 2) * CASE WHEN event_id % 41 = 0 THEN 100e0 WHEN event_id % 53 = 0 THEN -1e0 ELSE 1e0 END AS price,
+         CASE WHEN event_id % 101 <> 0 THEN CAST(ts AS TIMESTAMP) END AS told, CASE WHEN event_id % 31 = 0 THEN 'CHF' WHEN event_id % 59 = 0 THEN '' ELSE own END AS cur,
+         CASE WHEN user_id % 4 = 1 OR (user_id % 5 < 2 AND user_id % 2 = 0) THEN own END AS want, CASE WHEN user_id % 5 < 2 THEN 60e0 + user_id % 40 END AS close,
+         CASE WHEN user_id % 5 < 2 AND user_id % 2 = 0 THEN own END AS close_cur, CASE WHEN user_id % 5 < 2 THEN TIMESTAMP '2024-01-15' END AS close_at,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END, event_id) AS rn
+  FROM e),
+g AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS seq, 0e0 AS price, '' AS reason, CAST(NULL AS DOUBLE) AS hp, CAST(NULL AS VARCHAR) AS hc, CAST(NULL AS TIMESTAMP) AS ht, CAST(NULL AS DOUBLE) AS before FROM f
+  UNION ALL
+  SELECT k, rn, seq, price, reason, CASE WHEN reason IS NULL THEN price ELSE coalesce(close, hp) END, CASE WHEN reason IS NULL THEN cur WHEN close IS NOT NULL THEN close_cur ELSE hc END,
+         CASE WHEN reason IS NULL THEN told WHEN close IS NOT NULL THEN close_at ELSE ht END, hp
+  FROM (SELECT f.*, g.hp, g.hc, g.ht,
+               CASE WHEN f.price <= 0 THEN 'non-positive price' WHEN f.cur = '' THEN 'missing currency' WHEN f.cur <> f.want THEN 'unexpected currency' WHEN f.cur <> g.hc THEN 'currency changed'
+                    WHEN f.told < g.ht THEN 'older than cached' WHEN abs(f.price / g.hp - 1) > 0.2e0 THEN 'move too large'
+                    WHEN g.hp IS NULL AND abs(f.price / f.close - 1) > 0.5e0 THEN 'too far from statement' END AS reason
+        FROM g JOIN f ON f.k = g.k AND f.rn = g.rn + 1))
+SELECT k AS instrument_key, seq, round(price, 6) AS price, reason IS NULL AS accepted, reason, round(before, 6) AS prev_price FROM g WHERE rn > 0""")
 def _(spark, sf):
-    return quotes.gate_sequence(A.quotes_feed(spark, sf)).select("instrument_key", "seq", *r6("price"), "accepted")
+    """All rules, quotes in order of arrival: late ones, other units and currencies, statements to go on from."""
+    out = gate.gate_sequence(A.quote_arrivals(spark, sf), ["arrived_at", "seq"])
+    return out.select("instrument_key", "seq", *r6("price"), "accepted", "reason", *r6("prev_price"))
 
 
 @query("payment_frequency", "v_prof_rows", """
@@ -673,7 +699,7 @@ def _slices(spark: SparkSession, sf: str, name: str, time: str, n: int = 5) -> l
 
 @query("stream_quote_gate", "", ORACLES["quote_gate"])
 def _(spark, sf):
-    def gate(events: DataFrame) -> DataFrame:
+    def gated(events: DataFrame) -> DataFrame:
         return jobs.gate_quotes(
             events.select(
                 F.col("user_id").alias("instrument_key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("as_of"),
@@ -681,8 +707,8 @@ def _(spark, sf):
             )
         )
 
-    out = jobs.drain_slices(_slices(spark, sf, "events", "ts"), gate, "gate")
-    return out.select("instrument_key", "seq", *r6("price"), "accepted")
+    out = jobs.drain_slices(_slices(spark, sf, "events", "ts"), gated, "gate")
+    return out.select("instrument_key", "seq", *r6("price"), "accepted", "reason")
 
 
 @query("stream_unique_events", "", "SELECT DISTINCT event_id AS id, user_id FROM events")

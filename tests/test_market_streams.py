@@ -7,7 +7,7 @@ from helpers import d
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import coerce
-from ledgerspark.operators import dedupe, quotes
+from ledgerspark.operators import dedupe, gate, quotes
 from ledgerspark.sources import market, tables
 from ledgerspark.streaming import jobs
 
@@ -77,7 +77,7 @@ def expected(rows):
 @pytest.mark.parametrize("kw", [{}, {"block_rows": 7}, {"block_rows": 7, "hot_rows": 20, "chunk_rows": 10}])
 def test_gate_in_blocks_equals_one_pass(spark, kw):
     rows, df = feed(spark)
-    got = {r.seq: r.accepted for r in quotes.gate_sequence(df, **kw).collect()}
+    got = {r.seq: r.accepted for r in gate.gate_sequence(df, **kw).collect()}
     assert got == expected(rows)
 
 
