@@ -136,6 +136,45 @@ def quote_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of sources: events as fetches of which a small value is a success."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), (F.col("value") < 25).alias("ok"), F.col("event_type").alias("error"),
+    )
+
+
+def listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(instruments, overrides) made of parts: several venues, renamed tickers, some without currency, overridden or excluded."""
+    k = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(
+        (k % 100).alias("portfolio_id"), k.alias("instrument_key"), F.concat(F.lit("P"), k.cast("string"), F.when(k % 5 == 0, "x").otherwise("")).alias("symbol"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit("Q"), k.cast("string")))).otherwise(F.array().cast("array<string>")).alias("aliases"),
+        F.when(k % 4 == 0, "AEB").when(k % 4 == 1, "NYSE").when(k % 4 == 2, "LSEETF").otherwise("MOON").alias("listing_exchange"),
+        F.when(k % 50 == 7, "Cash").otherwise("Stocks").alias("asset_category"), F.when(k % 6 != 0, "USD").alias("trade_currency"),
+        F.when(k % 3 != 1, F.col("p_retailprice")).alias("close_price"),
+        F.when(k % 11 == 0, F.concat(F.lit("swx-p"), k.cast("string"))).alias("provider_symbol"), (k % 97 == 0).alias("excluded"), F.lit(None).cast("string").alias("manual_price_currency"),
+    )
+    return t.drop("provider_symbol", "excluded", "manual_price_currency"), t.select("portfolio_id", "instrument_key", "provider_symbol", "excluded", "manual_price_currency")
+
+
+#: Forms of symbols that quotes landed for; form i fails for parts where key div (i + 2) is even.
+LANDED_FORMS = [("P", ""), ("P", "X"), ("AMS-P", ""), ("AMS-Q", ""), ("Q", ""), ("LON-P", ""), ("SWX-P", "")]
+
+
+def landed_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed answers for some symbols of each part; London's are in pence and without a currency."""
+    k = F.col("p_partkey")
+    forms = F.array(*[
+        F.struct(
+            F.concat(F.lit(head), k.cast("string"), F.lit(tail)).alias("symbol"), F.when(F.floor(k / (i + 2)) % 2 == 0, "provider status").alias("reason"),
+            (F.col("p_retailprice") * (100.0 if head == "LON-P" else 1.0)).alias("price"), F.lit(None if head == "LON-P" else "EUR").cast("string").alias("currency"),
+        )
+        for i, (head, tail) in enumerate(LANDED_FORMS)
+    ])
+    rows = table(spark, sf_dir, "part").select(F.explode(forms).alias("f")).select("f.*")
+    return rows.withColumns({"previous_close": F.lit(None).cast("double"), "as_of": F.lit("2001-08-01").cast("timestamp")})
+
+
 def positions(transactions: DataFrame) -> DataFrame:
     """Two year-end style snapshots of the signed ledger quantity, off by one share for some."""
     dates = F.array(F.lit("1998-06-30").cast("date"), F.lit("2000-12-31").cast("date"))

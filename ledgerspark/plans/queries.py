@@ -684,6 +684,47 @@ def _(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", quotes.price_unit(F.col("p_size") * 100.0, F.lit(25.0)).alias("unit"))
 
 
+@query("source_health", "", """
+WITH l AS (SELECT user_id AS source, value < 25 AS ok, event_type AS error, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+s AS (SELECT *, max(CASE WHEN ok THEN rn ELSE 0 END) OVER (PARTITION BY source) AS good, max(CASE WHEN NOT ok THEN rn ELSE 0 END) OVER (PARTITION BY source) AS bad FROM l),
+a AS (SELECT source, count(*) FILTER (rn > good) AS n, CAST(max(ts) FILTER (rn = good) AS TIMESTAMP) AS last_success_at, max(error) FILTER (rn = bad) AS last_error, CAST(max(ts) FILTER (rn = bad) AS TIMESTAMP) AS last_error_at,
+             count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures FROM s GROUP BY 1)
+SELECT source, CASE WHEN n >= 3 THEN 'down' WHEN n > 0 THEN 'degraded' ELSE 'ok' END AS status, strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at, last_error,
+       strftime(last_error_at, '%Y-%m-%d %H:%M:%S') AS last_error_at, successes, failures, n AS consecutive_failures FROM a""")
+def _(spark, sf):
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    out = quotes.source_health(A.fetch_log(spark, sf))
+    return out.select("source", "status", text("last_success_at"), "last_error", text("last_error_at"), "successes", "failures", "consecutive_failures")
+
+
+@query("first_usable", "", """
+WITH p AS (SELECT p_partkey AS k, p_retailprice AS close, 'P' || p_partkey AS p, 'Q' || p_partkey AS q FROM part),
+i AS (
+  SELECT *, k % 97 = 0 AS excluded, k % 11 = 0 AS overridden, k % 50 = 7 AS cash, CASE k % 4 WHEN 0 THEN 'AMS-' WHEN 2 THEN 'LON-' ELSE '' END AS venue,
+         CASE WHEN k % 5 = 0 THEN [p || 'X'] ELSE [p] END || CASE WHEN k % 3 = 0 THEN [q] ELSE [] END || CASE WHEN k % 5 = 0 THEN [p] ELSE [] END AS tickers FROM p),
+c AS (SELECT *, CASE WHEN excluded THEN [] WHEN overridden THEN ['SWX-' || p] WHEN cash THEN [] ELSE list_transform(tickers, lambda t: venue || t) END AS candidates FROM i),
+landed AS (
+  SELECT f[1] || k || f[2] AS symbol, k // (CAST(f[3] AS BIGINT) + 2) % 2 = 0 AS bad, close * CASE f[1] WHEN 'LON-P' THEN 100 ELSE 1 END AS price, CASE f[1] WHEN 'LON-P' THEN NULL ELSE 'EUR' END AS currency
+  FROM p, (VALUES (['P', '', '0']), (['P', 'X', '1']), (['AMS-P', '', '2']), (['AMS-Q', '', '3']), (['Q', '', '4']), (['LON-P', '', '5']), (['SWX-P', '', '6'])) v(f)),
+r AS (SELECT k, unnest(candidates) AS symbol, generate_subscripts(candidates, 1) AS rank FROM c),
+t AS (SELECT r.*, bad, price, currency, bad IS NOT NULL AND NOT bad AS ok FROM r LEFT JOIN landed USING (symbol)),
+b AS (SELECT k, min(rank) FILTER (ok) AS at_rank FROM t GROUP BY 1),
+o AS (
+  SELECT k, max(symbol) FILTER (rank = at_rank) AS candidate, max(price) FILTER (rank = at_rank) AS price, max(currency) FILTER (rank = at_rank) AS currency,
+         string_agg(symbol || CASE WHEN bad THEN ': provider status' ELSE ': not landed' END, '; ' ORDER BY rank) FILTER (at_rank IS NULL OR rank < at_rank) AS misses FROM t JOIN b USING (k) GROUP BY 1),
+w AS (
+  SELECT c.k, coalesce(CASE WHEN k % 6 <> 0 THEN 'USD' END, CASE k % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' END) AS want, candidate, price, currency, CASE WHEN k % 3 <> 1 THEN close END AS close,
+         CASE WHEN excluded THEN 'excluded by user' WHEN len(candidates) = 0 THEN 'forex is priced from rates' ELSE coalesce(misses, '') END AS misses FROM c LEFT JOIN o USING (k))
+SELECT k AS instrument_key, CASE WHEN want IS NOT NULL THEN candidate END AS candidate, round(CASE WHEN want IS NULL THEN NULL WHEN abs(price / close / 100 - 1) <= 0.1e0 THEN price / 100 ELSE price END, 6) AS price,
+       CASE WHEN want IS NOT NULL AND candidate IS NOT NULL THEN coalesce(currency, want) END AS currency, CASE WHEN want IS NULL THEN 'unknown trade currency' ELSE misses END AS misses FROM w""")
+def _(spark, sf):
+    """Symbols to try per instrument, the first with a valid landed quote, in major units; what missed before it."""
+    instruments, overrides = A.listed(spark, sf)
+    known = quotes.expected_currency(instruments, overrides).join(instruments.select("portfolio_id", "instrument_key", "close_price"), ["portfolio_id", "instrument_key"])
+    out = quotes.first_usable(quotes.symbol_candidates(instruments, overrides), A.landed_quotes(spark, sf), known)
+    return out.select("instrument_key", "candidate", *r6("price"), "currency", F.concat_ws("; ", "misses").alias("misses"))
+
+
 # --- streams --------------------------------------------------------------------------------
 
 def _slices(spark: SparkSession, sf: str, name: str, time: str, n: int = 5) -> list[DataFrame]:
