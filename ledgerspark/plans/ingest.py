@@ -158,9 +158,9 @@ def net_once(once: DataFrame) -> DataFrame:
 
 
 def merge_rates(rows: DataFrame, imported: DataFrame) -> DataFrame:
-    """Rates that statements state, the first import of each day wins."""
+    """Rates that statements of a portfolio state, the first import of each day wins."""
     dated = rows.join(imported.select("file_id", "imported_at"), "file_id")
-    return dated.groupBy("base", "quote", "date").agg(F.min_by("rate", F.struct("imported_at", "file_id")).alias("rate"))
+    return dated.groupBy("portfolio_id", "base", "quote", "date").agg(F.min_by("rate", F.struct("imported_at", "file_id")).alias("rate"))
 
 
 def adopted_base(raw_files: DataFrame, imported: DataFrame) -> DataFrame:
