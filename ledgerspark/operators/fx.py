@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,26 +31,31 @@ def usable_rates(rates: DataFrame) -> DataFrame:
 
 
 def merge_rates(*sources: DataFrame) -> DataFrame:
-    """One rate per (base, quote, date); earlier arguments take precedence."""
-    cols = ["base", "quote", "date", "rate"]
-    parts = [s.select(*cols, F.lit(i).alias("_rank")) for i, s in enumerate(sources)]
+    """One rate per (base, quote, date); earlier arguments take precedence.
+
+    Sources may name the portfolio whose statements state the rate; rates of the others, which hold for
+    all, then have none.
+    """
+    owned = any("portfolio_id" in s.columns for s in sources)
+    cols = [*(["portfolio_id"] if owned else []), "base", "quote", "date"]
+    nobody = F.lit(None).cast("string").alias("portfolio_id")
+    parts = [
+        s.select(*[nobody if c not in s.columns else F.col(c).cast("string").alias(c) if c == "portfolio_id" else F.col(c) for c in cols], "rate", F.lit(i).alias("_rank"))
+        for i, s in enumerate(sources)
+    ]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return (
-        whole.groupBy("base", "quote", "date")
-        .agg(F.min(F.struct("_rank", "rate")).alias("_best"))
-        .select("base", "quote", "date", F.col("_best.rate").alias("rate"))
-    )
+    return whole.groupBy(*cols).agg(F.min(F.struct("_rank", "rate")).alias("_best")).select(*cols, F.col("_best.rate").alias("rate"))
 
 
-def dense_direct(rates: DataFrame, max_stale: int = MAX_STALE_DAYS) -> DataFrame:
-    """(src, dst, day) -> the last published rate, forward pair before inverse.
+def dense_direct(rates: DataFrame, max_stale: int = MAX_STALE_DAYS, by: tuple[str, ...] = ()) -> DataFrame:
+    """(src, dst, day) -> the last published rate, forward pair before inverse; apart for each `by`.
 
     Each rate is repeated for the days it is in force, which turns the backward
     as-of lookup into a plain equi join.
     """
-    nxt = F.lead("date").over(W.partitionBy("base", "quote").orderBy("date"))
+    nxt = F.lead("date").over(W.partitionBy(*by, "base", "quote").orderBy("date"))
     held = usable_rates(rates).withColumn("_next", nxt)
     last = F.least(F.date_sub("_next", 1), F.date_add("date", max_stale))
     daily = held.withColumn("day", F.explode(F.sequence("date", last)))
@@ -57,20 +63,24 @@ def dense_direct(rates: DataFrame, max_stale: int = MAX_STALE_DAYS) -> DataFrame
         F.struct(F.col("base").alias("src"), F.col("quote").alias("dst"), F.lit(0).alias("side"), F.col("rate")),
         F.struct(F.col("quote").alias("src"), F.col("base").alias("dst"), F.lit(1).alias("side"), (1.0 / F.col("rate")).alias("rate")),
     )
-    both = daily.select("day", "date", F.explode(legs).alias("leg")).select("day", "date", "leg.*")
+    both = daily.select(*by, "day", "date", F.explode(legs).alias("leg")).select(*by, "day", "date", "leg.*")
     return (
-        both.groupBy("src", "dst", "day")
+        both.groupBy(*by, "src", "dst", "day")
         .agg(F.min(F.struct("side", "rate", "date")).alias("_m"))
-        .select("src", "dst", "day", F.col("_m.rate").alias("rate"), F.col("_m.date").alias("rate_date"))
+        .select(*by, "src", "dst", "day", F.col("_m.rate").alias("rate"), F.col("_m.date").alias("rate_date"))
     )
 
 
 @dataclass
 class RateTable:
-    """Resolved rates (src, dst, day, rate, rate_date, via) into the target currencies."""
+    """Resolved rates (src, dst, day, rate, rate_date, via) into the target currencies.
+
+    `own` holds rates of single portfolios, which count for their rows where the shared ones have none.
+    """
 
     df: DataFrame
     small: bool
+    own: RateTable | None = None
 
     def side(self) -> DataFrame:
         return F.broadcast(self.df) if self.small else self.df
@@ -87,40 +97,62 @@ def resolve_rates(
     """Direct or pivoted rate of every (currency, target, day).
 
     The table holds (currencies x targets x days) rows however large the facts
-    are; it is counted once and broadcast only below `broadcast_rows`.
+    are; it is counted once and broadcast only below `broadcast_rows`.  Rates that
+    name a portfolio are resolved, and crossed, inside it.
     """
-    direct = dense_direct(rates, max_stale)
+    if "portfolio_id" not in rates.columns:
+        return _resolve(rates, targets, max_stale, via, broadcast_rows, ())
+    owner = F.col("portfolio_id")
+    shared = _resolve(rates.where(owner.isNull()), targets, max_stale, via, broadcast_rows, ())
+    shared.own = _resolve(rates.where(owner.isNotNull()), targets, max_stale, via, broadcast_rows, ("portfolio_id",))
+    return shared
+
+
+def _resolve(rates: DataFrame, targets: list[str], max_stale: int, via: str | None, broadcast_rows: int, by: tuple[str, ...]) -> RateTable:
+    direct = dense_direct(rates, max_stale, by)
     into = F.col("dst").isin(*targets)
     order = F.when(F.col("via") == F.lit(via), 0) if via else F.lit(None).cast("int")
     order = F.coalesce(
         order,
         F.when(F.col("via") == PIVOTS[0], 1).when(F.col("via") == PIVOTS[1], 2).otherwise(3),
     )
-    first = direct.select(F.col("src"), F.col("dst").alias("via"), "day", F.col("rate").alias("r1"), F.col("rate_date").alias("d1"))
+    first = direct.select(*by, F.col("src"), F.col("dst").alias("via"), "day", F.col("rate").alias("r1"), F.col("rate_date").alias("d1"))
     second = direct.where(into).select(
-        F.col("src").alias("via"), "dst", "day", F.col("rate").alias("r2"), F.col("rate_date").alias("d2")
+        *by, F.col("src").alias("via"), "dst", "day", F.col("rate").alias("r2"), F.col("rate_date").alias("d2")
     )
     crossed = (
-        first.join(second, ["via", "day"])
+        first.join(second, [*by, "via", "day"])
         .where(F.col("src") != F.col("dst"))
         .select(
-            "src", "dst", "day", order.alias("pref"), "via",
+            *by, "src", "dst", "day", order.alias("pref"), "via",
             (F.col("r1") * F.col("r2")).alias("rate"), F.least("d1", "d2").alias("rate_date"),
         )
     )
     straight = direct.where(into).select(
-        "src", "dst", "day", F.lit(-1).alias("pref"), F.lit(None).cast("string").alias("via"), "rate", "rate_date"
+        *by, "src", "dst", "day", F.lit(-1).alias("pref"), F.lit(None).cast("string").alias("via"), "rate", "rate_date"
     )
     best = (
         straight.unionByName(crossed)
-        .groupBy("src", "dst", "day")
+        .groupBy(*by, "src", "dst", "day")
         .agg(F.min(F.struct("pref", "via", "rate", "rate_date")).alias("_b"))
-        .select("src", "dst", "day", "_b.rate", "_b.rate_date", "_b.via")
+        .select(*by, "src", "dst", "day", "_b.rate", "_b.rate_date", "_b.via")
     )
     best = cut_lineage(best)
     return RateTable(best, best.count() <= broadcast_rows)
 
 
+def _looked_up(tagged: DataFrame, table: RateTable, name: str) -> DataFrame:
+    """Add struct `name` (rate, rate_date, via) found for _q_src, _q_dst, _q_day and, where the table tells them apart, portfolio_id."""
+    owned = "portfolio_id" in table.df.columns
+    keys = {"src": "_q_src", "dst": "_q_dst", "day": "_q_day"}
+    look = table.df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.struct("rate", "rate_date", "via").alias(name), *([F.col("portfolio_id").alias("_k_owner")] if owned else []))
+    look = F.broadcast(look) if table.small else look
+    on = reduce(Column.__and__, [F.col(q) == F.col(f"_k_{k}") for k, q in keys.items()])
+    if owned:
+        on = on & (F.col("portfolio_id").cast("string") == F.col("_k_owner").cast("string"))
+    return tagged.join(look, on, "left").drop("_k_src", "_k_dst", "_k_day", "_k_owner")
+
+
 def with_rate(
     df: DataFrame,
     src: Column | str,
@@ -132,31 +164,20 @@ def with_rate(
     rate_date: str | None = None,
     via: str | None = None,
 ) -> DataFrame:
-    """Add the rate from `src` to `dst` in force on `day` (NULL when unknown)."""
+    """Add the rate from `src` to `dst` in force on `day` (NULL when unknown); rows without a portfolio_id get shared rates only."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
-    keep = [
-        F.col("src").alias("_fx_src"), F.col("dst").alias("_fx_dst"), F.col("day").alias("_fx_day"),
-        F.col("rate").alias("_fx_rate"), F.col("rate_date").alias("_fx_date"), F.col("via").alias("_fx_via"),
-    ]
-    look = table.df.select(*keep)
-    look = F.broadcast(look) if table.small else look
-    tagged = df.withColumns({"_q_src": c(src), "_q_dst": c(dst), "_q_day": c(day)})
-    hit = tagged.join(
-        look,
-        (F.col("_q_src") == F.col("_fx_src"))
-        & (F.col("_q_dst") == F.col("_fx_dst"))
-        & (F.col("_q_day") == F.col("_fx_day")),
-        "left",
-    )
+    hit = _looked_up(df.withColumns({"_q_src": c(src), "_q_dst": c(dst), "_q_day": c(day)}), table, "_fx")
+    if table.own is not None and "portfolio_id" in df.columns:
+        hit = _looked_up(hit, table.own, "_own")
+        # all three from one table
+        hit = hit.withColumn("_fx", F.when(F.col("_fx.rate").isNotNull(), F.col("_fx")).otherwise(F.col("_own"))).drop("_own")
     same = F.col("_q_src") == F.col("_q_dst")
-    out = {rate: F.when(same, F.lit(1.0)).otherwise(F.col("_fx_rate"))}
+    out = {rate: F.when(same, F.lit(1.0)).otherwise(F.col("_fx.rate"))}
     if rate_date:
-        out[rate_date] = F.when(same, F.col("_q_day")).otherwise(F.col("_fx_date"))
+        out[rate_date] = F.when(same, F.col("_q_day")).otherwise(F.col("_fx.rate_date"))
     if via:
-        out[via] = F.when(~same, F.col("_fx_via"))
-    return hit.withColumns(out).drop(
-        "_q_src", "_q_dst", "_q_day", "_fx_src", "_fx_dst", "_fx_day", "_fx_rate", "_fx_date", "_fx_via"
-    )
+        out[via] = F.when(~same, F.col("_fx.via"))
+    return hit.withColumns(out).drop("_q_src", "_q_dst", "_q_day", "_fx")
 
 
 def convert(

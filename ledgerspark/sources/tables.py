@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Key columns and tier of every table.
 KEYS = {
     "raw_files": ["portfolio_id", "file_id"], "raw_rows": ["file_id", "line_no"], "instruments": ["portfolio_id", "instrument_key"],
     "transactions": ["portfolio_id", "id"], "distributions": ["portfolio_id", "id"], "accruals": ["portfolio_id", "id"], "cash_events": ["portfolio_id", "id"],
-    "positions": ["portfolio_id", "account", "as_of", "instrument_key"], "fx_rates": ["base", "quote", "date"], "quotes": ["portfolio_id", "instrument_key"],
+    "positions": ["portfolio_id", "account", "as_of", "instrument_key"], "fx_rates": ["portfolio_id", "base", "quote", "date"], "quotes": ["portfolio_id", "instrument_key"],
     "dividend_profiles": ["instrument_key"], "profile_distributions": ["instrument_key", "ex_date", "amount"], "overrides": ["portfolio_id", "instrument_key"],
     "settings": ["portfolio_id"],
 }
@@ -37,7 +39,9 @@ def restore(dump: dict[str, DataFrame], existing: dict[str, DataFrame], *, repla
         elif new is None:
             out[name] = old
         else:
-            kept = old.join(new.select(*KEYS[name]), KEYS[name], "left_anti")
+            keys = [c for c in KEYS[name] if c in old.columns and c in new.columns]
+            held = new.select(*[new[c].alias(f"_{c}") for c in keys])
+            kept = old.join(held, reduce(Column.__and__, [old[c].eqNullSafe(held[f"_{c}"]) for c in keys]), "left_anti")
             out[name] = new.unionByName(kept, allowMissingColumns=True)
     return out
 

@@ -71,5 +71,21 @@ def test_merge_prefers_fetched(spark, book):
     assert got[("EUR", "USD", "2025-06-13")] == 1.15 and got[("EUR", "USD", "2025-01-01")] == 1.0
 
 
+def test_stated_rates_stay_in_their_portfolio(spark, book):
+    stated = spark.createDataFrame(
+        [("p", "EUR", "CHF", d("2025-06-13"), 0.9), ("p", "EUR", "USD", d("2025-06-13"), 9.0), ("q", "EUR", "CHF", d("2025-06-13"), 0.8), ("q", "CHF", "SEK", d("2025-06-13"), 10.0)],
+        "portfolio_id string, base string, quote string, date date, rate double",
+    )
+    table = fx.resolve_rates(fx.merge_rates(book, stated), ["CHF", "USD", "SEK"])
+    asked = spark.createDataFrame([(p, "EUR", q, d("2025-06-14")) for p in "pqr" for q in ("CHF", "USD", "SEK")], "portfolio_id string, src string, dst string, day date")
+    got = {(r.portfolio_id, r.dst): (r.rate, r.via) for r in fx.with_rate(asked, "src", "dst", "day", table, via="via").collect()}
+    assert got == {
+        ("p", "CHF"): (0.9, None), ("q", "CHF"): (0.8, None), ("r", "CHF"): (None, None), ("p", "USD"): (1.15, None), ("q", "USD"): (1.15, None), ("r", "USD"): (1.15, None),
+        ("p", "SEK"): (None, None), ("q", "SEK"): (8.0, "CHF"), ("r", "SEK"): (None, None),
+    }
+    nobody = fx.with_rate(asked.drop("portfolio_id"), "src", "dst", "day", table)
+    assert nobody.where("dst = 'CHF' AND rate IS NOT NULL").count() == 0
+
+
 def test_unsupported(spark):
     assert [r[0] for r in fx.unsupported_currencies(spark.createDataFrame([("usd",), ("XAU",)], "currency string")).collect()] == ["XAU"]
