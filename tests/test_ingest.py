@@ -192,3 +192,25 @@ def test_pairing_by_rate_before_order(spark):
     fix = lambda x: x.withColumns({"date": F.lit("2025-01-01").cast("date"), "currency": F.lit("USD"), "order": F.struct(F.lit("Dividends"), "line_no")})
     got = sorted(rows(derive.pair_withholding(fix(d), fix(t)), "tax_line", "line_no"))
     assert got == [(11, 2), (12, 1), (13, 3)]
+
+
+def test_a_table_is_derived_only_when_asked_for(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("derived without need")
+
+    for name in ("context", "transactions", "distributions", "cash_events"):
+        monkeypatch.setattr(derive, name, refused)
+    files = spark.createDataFrame([("p", "x.csv", quarter())], "portfolio_id string, path string, text string")
+    b = ingest.derive_files(files)
+    assert b.raw_files.count() == 1 and b.raw_rows.count() > 0
+    with pytest.raises(AssertionError):
+        _ = b.transactions
+
+
+def test_comparable_cells(spark):
+    cells = ["", "--", " - ", "1,234.50", "-0", "-0.000", "100", "0.5", "007", "1,23", "2001-02-03", "2001-02-03, 10:11:12", "2001-02-03  10:11:12", "2001-02-03x", "a  b\tc ", "1e5", "9" * 400, None]
+    want = ["", "", "", "1234.5", "0", "0", "100", "0.5", "7", "1,23", "2001-02-03", "2001-02-03T10:11:12", "2001-02-03T10:11:12", "2001-02-03x", "a b c", "1e5", "Infinity", ""]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert [r[0] for r in df.select(T.canon("c")).collect()] == want
+    cell = F.when(F.col("c") == "", "").otherwise(T.plain_cell("c"))
+    assert [r[0][0] for r in df.select(F.transform(F.transform(F.array(cell), lambda x: x), lambda t: T.canon_plain(t))).collect()] == want
