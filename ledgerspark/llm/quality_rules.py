@@ -1,12 +1,12 @@
 """Quality rules: base counts and the divergence of a document from its language.
 
 Each document is described by two histograms: of character classes, and of its language's
-common short words (all other words together in one more bin).  The references are the same
+most frequent words (all other words together in one more bin).  The references are the same
 histograms summed over all texts of the language.  A document fails if the Jensen-Shannon
 distance (base 2, so from 0 to 1) of either histogram to its reference is too large.  Short
 texts have noisy histograms, so each comparison has a least length, below which it passes.
 
-Three steps: count the short words per language (partial sums, a few thousand rows a task);
+Three steps: count every word of every text per language (partial sums);
 measure every whole text in one map; sum the measures per language and compare.  No text is
 shuffled.  Three-word windows are compared by 64-bit hashes of their words.
 
@@ -29,8 +29,8 @@ from ledgerspark.llm.common import GAP, stage, text_of, words_of
 CLASSES = (r"\p{Lu}", r"\p{N}", r"[!\"'()+,\-./:;=?@\[\\\]^_`{}~]", r"[#*$%&|<>]", r"[\p{Lo}\p{Lt}\p{Lm}]")
 SYMBOL_CLASS = 3
 PLAIN = r"[\p{Ll}\x20\x09-\x0D]+"
-#: Common words: the most frequent ones of at most so many letters.
-COMMON, SHORT = 16, 4
+#: Common words: so many bins of most frequent words, whatever their length; the rest is one more bin.
+COMMON = 16
 #: (least length, largest distance): in characters for classes, in words for common words.
 CLASS_RULE, WORD_RULE = (300, 0.3), (50, 0.4)
 N_CLASSES = len(CLASSES) + 3
@@ -48,9 +48,9 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def common_words(rows: DataFrame) -> DataFrame:
-    """(`_of`, `_common`): the most frequent short words of each language; `_of` null: of all texts."""
-    short = rows.select("_lang", F.explode(F.split("_text", GAP, -1)).alias("_word")).where(F.length("_word").between(1, SHORT))
-    counts = stage(short.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("_k")), "word-counts")
+    """(`_of`, `_common`): the most frequent words of each language; `_of` null: of all texts."""
+    words = rows.select("_lang", F.explode(F.split("_text", GAP, -1)).alias("_word")).where("_word != ''")
+    counts = stage(words.groupBy("_lang", "_word").agg(F.count(F.lit(1)).alias("_k")), "word-counts")
     every = counts.groupBy("_word").agg(F.sum("_k").alias("_k")).select(F.lit(None).cast("string").alias("_lang"), "_word", "_k")
     counts = counts.where("_lang is not null").unionByName(every)
     place = F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("_k"), "_word"))
