@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 # Dust thresholds and decimal places.
 EPS_QTY = 1e-9
@@ -26,12 +27,13 @@ def finite(x) -> Column:
     return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
-def exact_sum(x) -> Column:
-    """Order-independent sum of doubles; NULLs are skipped, NaN stays NaN."""
+def exact_sum(x, over: WindowSpec | None = None) -> Column:
+    """Order-independent sum of doubles, of a group or over a window; NULLs are skipped, NaN stays NaN."""
     x = _c(x)
-    total = F.sum(x.try_cast(MONEY_TYPE)).cast("double")
-    poisoned = F.bool_or(F.isnan(x))
-    return F.when(poisoned, F.lit(float("nan"))).otherwise(total)
+    total, poisoned = F.sum(x.try_cast(MONEY_TYPE)), F.bool_or(F.isnan(x))
+    if over is not None:
+        total, poisoned = total.over(over), poisoned.over(over)
+    return F.when(poisoned, F.lit(float("nan"))).otherwise(total.cast("double"))
 
 
 def sum_known(x) -> Column:

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ledgerspark.functions.numeric import exact_sum, finite, is_zero, pct, sum_known
 from ledgerspark.operators import fx
-from ledgerspark.operators.lots import LEDGER, Ledger, quantity_as_of, replay
-from ledgerspark.operators.scan import cut_lineage
+from ledgerspark.operators.lots import LEDGER, ORDER, Ledger, quantity_as_of, replay
+from ledgerspark.operators.scan import cut_lineage, small_side
 
 QTY_TOLERANCE = 1e-6
 
@@ -43,13 +44,25 @@ def valuation_dates(transactions: DataFrame, positions: DataFrame, quotes: DataF
 
 def _cost_legs(ledger: Ledger, bases: DataFrame, rates: fx.RateTable) -> DataFrame:
     """Open lots in base currency, each at its acquisition date."""
-    lots = ledger.open_lots().join(bases, "portfolio_id")
-    lots = fx.convert(lots, {"leg": "cost"}, "currency", "base_currency", "lot_date", rates)
+    lots = ledger.rows.where((F.col("seg") > 0) & F.col("sale").isNull()).select(*LEDGER, "currency", F.col("lot.date").alias("lot_date"), F.col("seg_cost").alias("cost"))
+    lots = fx.convert(lots.join(bases, "portfolio_id"), {"leg": "cost"}, "currency", "base_currency", "lot_date", rates)
     return lots.groupBy(*LEDGER).agg(
         exact_sum("leg").alias("lots_base"), F.bool_or(F.col("leg").isNull()).alias("lots_gap"),
     )
 
 
+def _sale_leg(s: Column) -> Column:
+    """Gain of sale `s` in base currency, from its `fifo` cost, that in base (`parts`), `gap` and `sale_rate`."""
+    proceeds = (s["qty"] * s["unit"] - s["fee"]) * F.col("sale_rate")
+    taken = F.when(F.col("method") == "FIFO", F.col("fifo")).otherwise(s["avg_taken"])
+    cost = (
+        F.when((F.col("fifo") == 0) & (taken == 0), F.lit(0.0))
+        .when(F.col("fifo") == 0, taken * F.col("sale_rate"))
+        .when(~F.col("gap"), F.col("parts") * (taken / F.col("fifo")))
+    )
+    return proceeds - cost
+
+
 def _realized_legs(ledger: Ledger, bases: DataFrame, rates: fx.RateTable) -> DataFrame:
     """Sale proceeds at the sale date less consumed lots at their own dates."""
     used = F.col("seg") > 0
@@ -63,19 +76,37 @@ def _realized_legs(ledger: Ledger, bases: DataFrame, rates: fx.RateTable) -> Dat
         F.bool_or(used & F.col("lot_rate").isNull()).alias("gap"),
     )
     sale = fx.with_rate(sale, "currency", "base_currency", F.col("s.date"), rates, rate="sale_rate")
-    proceeds = (F.col("s.qty") * F.col("s.unit") - F.col("s.fee")) * F.col("sale_rate")
-    taken = F.when(F.col("method") == "FIFO", F.col("fifo")).otherwise(F.col("s.avg_taken"))
-    cost = (
-        F.when((F.col("fifo") == 0) & (taken == 0), F.lit(0.0))
-        .when(F.col("fifo") == 0, taken * F.col("sale_rate"))
-        .when(~F.col("gap"), F.col("parts") * (taken / F.col("fifo")))
-    )
-    leg = sale.select(*LEDGER, (proceeds - cost).alias("leg"))
+    leg = sale.select(*LEDGER, _sale_leg(F.col("s")).alias("leg"))
     return leg.groupBy(*LEDGER).agg(
         exact_sum("leg").alias("sales_base"), F.bool_or(F.col("leg").isNull()).alias("sales_gap"),
     )
 
 
+def _summary_and_legs(ledger: Ledger, bases: DataFrame, rates: fx.RateTable) -> DataFrame:
+    """The summary with the two kinds of legs, added up while each ledger is replayed: nothing is stored or shuffled again."""
+    used, sold = F.col("seg") > 0, F.col("sale").isNotNull()
+    rows = fx.with_rate(ledger.rows.join(bases, "portfolio_id", "left"), "currency", "base_currency", F.col("lot.date"), rates, rate="lot_rate")
+    rows = fx.with_rate(rows, "currency", "base_currency", F.col("sale.date"), rates, rate="sale_rate")
+    # of sales with one id the last counts
+    order = W.partitionBy(*LEDGER, sold, F.col("sale.id")).orderBy(*[F.col(c).desc() for c in ("spot", *ORDER)])
+    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns(
+        {
+            "head": sold & (F.row_number().over(order) == 1),
+            "fifo": F.coalesce(exact_sum(F.when(used, F.col("seg_cost")), over=whole), F.lit(0.0)),
+            "parts": exact_sum(F.when(used, F.col("seg_cost") * F.col("lot_rate")), over=whole),
+            "gap": F.bool_or(used & F.col("lot_rate").isNull()).over(whole),
+        }
+    )
+    open_lot, lot_leg, sale_leg = used & ~sold, finite("seg_cost") * F.col("lot_rate"), _sale_leg(F.col("sale"))
+    # a ledger without an instrument is never looked up
+    known = F.col("instrument_key").isNotNull()
+    return Ledger(rows).summary(
+        lots_base=exact_sum(F.when(known & open_lot, lot_leg)), lots_gap=F.bool_or(F.when(known & open_lot, lot_leg.isNull())),
+        sales_base=exact_sum(F.when(known & F.col("head"), sale_leg)), sales_gap=F.bool_or(F.when(known & F.col("head"), sale_leg.isNull())),
+    )
+
+
 def _priced(row_currency: Column) -> Column:
     """Manual price, else quote, else statement close; NULL when none is usable."""
     manual = F.when(
@@ -118,10 +149,16 @@ def build(
     ledger: Ledger | None = None,
 ) -> DataFrame:
     """One row per (portfolio, instrument) seen in the ledger or in a snapshot."""
-    # the summary, the open lots and the sales all read the replayed rows
-    ledger = ledger or Ledger(cut_lineage(replay(transactions).rows))
-    bases = settings.select("portfolio_id", "base_currency", F.col("cost_basis_method").alias("method"))
-    led = ledger.summary().withColumn("in_ledger", F.lit(True)).withColumnRenamed("quantity", "ledger_quantity").withColumnRenamed("currency", "ledger_currency")
+    # broadcast where small, so that the replayed rows stay with their ledger
+    bases = small_side(settings.select("portfolio_id", "base_currency", F.col("cost_basis_method").alias("method")))
+    done = ledger or replay(transactions)
+    if done.apart and bases.groupBy("portfolio_id").count().where("count > 1").isEmpty():
+        led = cut_lineage(_summary_and_legs(done, bases, rates))
+    else:
+        # the summary, the open lots and the sales all read the replayed rows
+        done = ledger or Ledger(cut_lineage(done.for_holdings().rows))
+        led = done.summary().join(_cost_legs(done, bases, rates), LEDGER, "left").join(_realized_legs(done, bases, rates), LEDGER, "left")
+    led = led.withColumn("in_ledger", F.lit(True)).withColumnRenamed("quantity", "ledger_quantity").withColumnRenamed("currency", "ledger_currency")
     snap = latest_positions(positions)
     checks = quantity_as_of(transactions, snap.select(*LEDGER, "as_of")).select(
         *LEDGER, F.col("ledger_quantity").alias("ledger_at")
@@ -148,8 +185,6 @@ def build(
     rows = (
         led.join(snap, LEDGER, "full_outer")
         .join(checks, LEDGER, "left").join(inst, LEDGER, "left").join(quo, LEDGER, "left").join(ovr, LEDGER, "left")
-        .join(_cost_legs(ledger, bases, rates), LEDGER, "left")
-        .join(_realized_legs(ledger, bases, rates), LEDGER, "left")
         .join(bases, "portfolio_id").join(dates, "portfolio_id", "left")
     )
     known = F.coalesce(F.col("in_ledger"), F.lit(False))
@@ -229,7 +264,7 @@ def build(
         F.col("snap_as_of").alias("check_as_of"), "check_ledger", "check_snapshot", "check_difference", "discrepancy",
         "quote_source",
     )
-    return with_weights(out)
+    return with_weights(cut_lineage(out))  # read twice
 
 
 def with_weights(holdings: DataFrame) -> DataFrame:

@@ -126,10 +126,13 @@ def _average(scan: Ordered) -> Ordered:
 
 
 class Ledger:
-    """Replayed fills; every view below is a projection or grouping of `rows`."""
+    """Replayed fills; every view below is a projection or grouping of `rows`.
 
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
+    `apart`: each ledger lies in one partition, none of them is hot.
+    """
+
+    def __init__(self, rows: DataFrame, apart: bool = False):
+        self.rows, self.apart = rows, apart
 
     def lot_consumption(self) -> DataFrame:
         """Which lot funded which sale: one row per (sale, lot) pair."""
@@ -169,8 +172,18 @@ class Ledger:
             F.col("s.uncovered").alias("uncovered"),
         )
 
-    def summary(self) -> DataFrame:
-        """One row per ledger: quantity, cost and gain totals, counts, dates."""
+    def for_holdings(self) -> "Ledger":
+        """Only the columns that the summary and the legs in base currency read, to be written and read several times."""
+        return Ledger(
+            self.rows.select(
+                *LEDGER, *ORDER, "date", "currency", "q", "unit", "fee", "kind", "held", "uncovered", "opens", "cost_held", "avg_taken", "seg", "seg_cost",
+                F.when(F.col("lot").isNotNull(), F.struct("lot.date")).alias("lot"),
+                F.when(F.col("sale").isNotNull(), F.struct(*[f"sale.{c}" for c in ("id", "date", "qty", "unit", "fee", "avg_taken")])).alias("sale"),
+            )
+        )
+
+    def summary(self, **more: Column) -> DataFrame:
+        """One row per ledger: quantity, cost and gain totals, counts, dates, and `more` aggregates."""
         buy, sell = F.col("kind") == 1, F.col("kind") == -1
         q = F.abs(F.col("q")).cast("double")
         gross = q * F.col("unit")
@@ -191,7 +204,7 @@ class Ledger:
             F.min_by("side", moved).alias("first_side"),
             F.min("date").alias("first_activity"), F.max("date").alias("last_activity"),
             F.min(F.when(buy, F.col("date"))).alias("first_purchase"),
-            F.count_if(buy).alias("buy_count"), F.count_if(sell).alias("sell_count"),
+            F.count_if(buy).alias("buy_count"), F.count_if(sell).alias("sell_count"), *[x.alias(n) for n, x in more.items()],
         )
         z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
         # the first buy opens a trade without re-opening one, unless a sale came before it
@@ -201,7 +214,7 @@ class Ledger:
             z("f").alias("total_fees"), z("open_cost").alias("cost_fifo"), z("avg_cost_held").alias("cost_average"),
             (z("p") - z("used_cost")).alias("realized_fifo"), (z("p") - z("avg_used")).alias("realized_average"),
             "uncovered", again.alias("reopens"), "first_activity", "last_activity", "first_purchase",
-            "buy_count", "sell_count",
+            "buy_count", "sell_count", *more,
         )
 
 
@@ -215,7 +228,7 @@ def replay(transactions: DataFrame, *, hot_rows: int | None = None, chunk_rows:
         done = done.unionByName(
             _replay(Ordered(hot, LEDGER, ORDER, hot_rows=limit, chunk_rows=chunk_rows, chunked=True))
         )
-    return Ledger(done)
+    return Ledger(done, apart=hot is None)
 
 
 def _replay(scan: Ordered) -> DataFrame:
@@ -240,7 +253,7 @@ def _replay(scan: Ordered) -> DataFrame:
     seg = (F.col("spot") - F.coalesce(F.col("start"), F.lit(0).cast("decimal(38,9)"))).cast("decimal(38,9)")
     out = axis.frame().withColumn("seg", seg)
     cost = F.col("seg").cast("double") * (F.col("lot.unit") + F.col("lot.fee_per_share"))
-    return out.withColumn("seg_cost", cost).drop("lot0", "sale0", "start", "spot", "bought", "sold", "net", "low")
+    return out.withColumn("seg_cost", cost).drop("lot0", "sale0", "start", "bought", "sold", "net", "low")
 
 
 def cost_basis(summary: DataFrame, method: str | Column) -> DataFrame:

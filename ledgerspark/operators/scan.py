@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 
 HOT_ROWS = 20_000_000
 CHUNK_ROWS = 2_000_000
+TASK_ROWS = 250_000
+SMALL_ROWS = 1_000_000
 _OVERSAMPLE = 4
 _CHUNK = "_chunk"
 _FIRST = W.unboundedPreceding
@@ -65,12 +67,24 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of moderate keys, rows of hot keys or None when there are none)."""
-    hot = hot_keys(df, keys, limit).select(*keys)
-    if hot.isEmpty():
-        return df, None
-    hot = F.broadcast(cut_lineage(hot))  # bounded: at most total/limit keys
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    """(rows of moderate keys, dealt by key, rows of hot keys or None when there are none)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total, n_hot = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count_if(F.col("_rows") > limit)).first()
+    if not n_hot:
+        return deal(df, keys, total), None
+    hot = F.broadcast(cut_lineage(hot_keys(df, keys, limit).select(*keys)))  # bounded: at most total/limit keys
+    return deal(df.join(hot, list(keys), "left_anti"), keys, total), df.join(hot, list(keys), "left_semi")
+
+
+def deal(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """`df` by key in as many partitions as keep each small enough to be sorted in memory, however many rows there are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """`df` computed once, and broadcast where it is counted to be small: rows it is joined to stay in place."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
 def _position(bounds: Column, key: Column) -> Column:

@@ -54,7 +54,7 @@ class Portfolio:
         t = self.t
         rows = holdings.build(
             t.transactions, t.positions, t.instruments, t.quotes, t.overrides, t.settings, self.rates,
-            as_of=self.as_of, ledger=self.ledger,
+            as_of=self.as_of,
         )
         return cut_lineage(rows)
 
