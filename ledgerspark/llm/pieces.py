@@ -29,22 +29,24 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.wordtable import WordTable, ranges, runs
+from ledgerspark.llm.wordtable import WordTable, memory_returned, ranges, runs
 
 MARK = "▁"
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _NONE = -1
 #: Cells of one lattice matrix (words x lengths), to bound memory.
 _CELLS = 1 << 18
-#: Words a worker keeps.
-WORDS_KEPT = 600_000
+#: Words a worker keeps, and bytes of the texts it codes at a time.
+WORDS_KEPT, CODED_BYTES = 300_000, 1 << 20
 _SLOTS = 1 << 20
 
 
@@ -74,8 +76,11 @@ class Model:
             raise ValueError("two pieces share a hash")
         place = np.argsort(hashes)
         self.keys, self.ids = hashes[place], np.array(plain, np.int64)[place]
-        self.named = np.zeros(_SLOTS, bool)
-        self.named[_slot(self.keys)] = True
+        # most keys have a slot of their own in a small hashed table; the few that share one are searched for
+        self.place = np.full(_SLOTS, _NONE, np.int32)
+        self.place[_slot(self.keys)] = np.arange(len(self.keys))
+        pushed = self.place[_slot(self.keys)] != np.arange(len(self.keys))
+        self.pushed_keys, self.pushed_ids = self.keys[pushed], self.ids[pushed]
         self.chars = np.zeros(n, np.int64)
         self.chars[plain] = [len(names[i]) for i in plain]
         self.hash_of, self.power_of = np.zeros(n, np.uint64), np.ones(n, np.uint64)
@@ -118,11 +123,16 @@ class Model:
         """Ids of the pieces with these hashes, _NONE for others."""
         flat = np.ravel(hashes)
         out = np.full(len(flat), _NONE, np.int64)
-        # most substrings are no pieces; a small hashed table tells so for nearly all of them
-        maybe = np.flatnonzero(self.named[_slot(flat)])
-        wanted = flat[maybe]
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        out[maybe] = np.where(self.keys[at] == wanted, self.ids[at], _NONE)
+        # most substrings are no pieces, which an empty slot tells of nearly all of them
+        at = self.place[_slot(flat)]
+        maybe = np.flatnonzero(at >= 0)
+        at, wanted = at[maybe], flat[maybe]
+        named = self.keys[at] == wanted
+        out[maybe[named]] = self.ids[at[named]]
+        if len(self.pushed_keys):
+            maybe, wanted = maybe[~named], wanted[~named]
+            at = np.minimum(np.searchsorted(self.pushed_keys, wanted), len(self.pushed_keys) - 1)
+            out[maybe] = np.where(self.pushed_keys[at] == wanted, self.pushed_ids[at], _NONE)
         return out.reshape(hashes.shape)
 
     def stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -240,7 +250,9 @@ class Coder:
         return np.array(out, np.int32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        return self.table.lookup([_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts])
+        words = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        return self.table.lookup(pa.array(chain.from_iterable(words), pa.string(), size=int(sizes.sum())), sizes)
 
     def decode(self, ids: np.ndarray) -> str:
         m = self.model
@@ -258,15 +270,18 @@ def coded(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "
     """One row per input row: doc_id, ids, decoded text, exact (the decoded text is the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in runs([len(t or "") for t in texts], 1 << 20):
-                ids = coder.encode(texts[part])
-                decoded = [coder.decode(i) for i in ids]
-                exact = [d == (t or "") for d, t in zip(decoded, texts[part], strict=True)]
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *made], ["doc_id", "ids", "text", "exact"])
+        with memory_returned():
+            coder = coder_of(model)
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+                # only the texts of a part become Python's
+                for part in runs(sizes, CODED_BYTES):
+                    texts = batch.column(1)[part].to_pylist()
+                    ids = coder.encode(texts)
+                    decoded = [coder.decode(i) for i in ids]
+                    exact = [d == (t or "") for d, t in zip(decoded, texts, strict=True)]
+                    made = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[part], *made], ["doc_id", "ids", "text", "exact"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string, exact boolean")

@@ -13,7 +13,8 @@ own length, so nothing depends on the separator.  Files are read back whole, one
 and are as small as the partitions.
 
 Texts are cut at ASCII white space, which no token of this tokenizer family crosses, and
-a distinct word is given to the tokenizers library once while a worker's table has room;
+a distinct word (of words that differ in case only, where the tokenizer lower-cases, one)
+is given to the tokenizers library once while a worker's table has room;
 new words go there many at a time, between separators.  The ids are those of the whole text.
 
 Defined cases: null and empty texts have just the end id; null ids come first; rows with the
@@ -23,11 +24,12 @@ its own; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,13 @@ from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
 from ledgerspark.llm.common import new_folder, stage
-from ledgerspark.llm.wordtable import WordTable, runs
+from ledgerspark.llm.wordtable import WordTable, memory_returned, ranges, runs
 
 END_ID, SHARD_IDS, LEAST_COUNT = 1, 1 << 20, 16
 _HEAD = struct.Struct("<4sQIIIQQ")  # magic, length of all, documents, rules, first new symbol, symbols, ids
 _MAGIC = b"RPS1"
-#: Words a worker keeps, and words given to the library as one text.
-WORDS_KEPT, WORDS_A_TEXT = 1_200_000, 512
+#: Words a worker keeps, words given to the library as one text, bytes of the texts coded at a time.
+WORDS_KEPT, WORDS_A_TEXT, CODED_BYTES = 1_200_000, 512, 3 << 21
 _SLOTS = 1 << 18
 #: A character that is a token of its own and separates the words of such a text.
 _BETWEEN = "\x01"
@@ -60,34 +62,46 @@ def grammar(ids: np.ndarray, last: np.ndarray, first_new: int) -> tuple[np.ndarr
     Rounds go on until no pair within a document occurs LEAST_COUNT times.
     """
     seq, rules = ids.astype(np.int64), [np.empty((0, 2), np.int64)]
-    made = 0
+    made, newest = 0, 0
     for turn in count():
         if len(seq) < 2:
             break
-        code = (seq[:-1] << 32) | seq[1:]
-        code[last[:-1]] = -1
-        ordered = np.sort(code)
+        # after a round that took all frequent pairs, only pairs with one of its symbols can be frequent
+        inside = ~last[:-1] if turn < 3 else ~last[:-1] & ((seq[:-1] >= newest) | (seq[1:] >= newest))
+        spot = np.flatnonzero(inside)
+        code = (seq[spot] << 32) | seq[spot + 1]
+        # a pair occurs no oftener than its slot
+        slot = _slot(code)
+        ordered = np.sort(code[(np.bincount(slot, minlength=_SLOTS) >= LEAST_COUNT)[slot]])
+        if not len(ordered):
+            break
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts, pairs = np.diff(np.append(starts, len(ordered))), ordered[starts]
-        usable = (counts >= LEAST_COUNT) & (pairs >= 0)
+        usable = counts >= LEAST_COUNT
         if not usable.any():
             break
         counts, pairs = counts[usable], pairs[usable]
         chosen = np.flatnonzero(counts >= (counts.max() // 2 if turn < 2 else LEAST_COUNT))
         pairs = pairs[chosen]
-        # most pairs are none of the chosen ones; a small hashed table tells so for nearly all of them
-        named = np.zeros(_SLOTS, bool)
-        named[_slot(pairs)] = True
-        hit = np.flatnonzero(named[_slot(code)])
-        at = np.minimum(np.searchsorted(pairs, code[hit]), len(pairs) - 1)
-        same = pairs[at] == code[hit]
-        hit, at = hit[same], at[same]
+        # most neighbours are no chosen pair; a small table of places says which one each may be, and pairs that share a slot are searched for
+        slots = _slot(pairs)
+        place, shared = np.full(_SLOTS, -1, np.int32), np.bincount(slots, minlength=_SLOTS) > 1
+        place[slots] = np.arange(len(pairs))
+        at = place[slot]
+        hit = np.flatnonzero(at >= 0)
+        at, found = at[hit].astype(np.int64), code[hit]
+        same = pairs[at] == found
+        unsure = np.flatnonzero(~same & shared[slot[hit]])
+        at[unsure] = np.minimum(np.searchsorted(pairs, found[unsure]), len(pairs) - 1)
+        same[unsure] = pairs[at[unsure]] == found[unsure]
+        hit, at = spot[hit[same]], at[same]
         # every second one of a run of overlapping occurrences
         fresh = np.concatenate([[True], np.diff(hit) > 1])
         run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
         second = (np.arange(len(hit)) - run_start) % 2 == 1
         hit, at = hit[~second], at[~second]
-        seq[hit] = first_new + made + at
+        newest = first_new + made
+        seq[hit] = newest + at
         last[hit] = last[hit + 1]
         stay = np.ones(len(seq), bool)
         stay[hit + 1] = False
@@ -169,7 +183,11 @@ class Shard:
         return self._expand(seq[i:j])[start - skipped : stop - skipped].astype(np.uint32)
 
     def all_ids(self) -> list[np.ndarray]:
-        return np.split(self._expand(self.symbols).astype("<u4"), np.cumsum(self.sizes)[:-1])
+        # each rule is expanded once, then every symbol is a range of what ids and rules stand for
+        table = np.concatenate([np.arange(self.first_new), self._expand(self.first_new + np.arange(len(self.rules)))]).astype("<u4")
+        lengths = np.concatenate([np.ones(self.first_new, np.int64), self.lengths])
+        starts = np.cumsum(lengths) - lengths
+        return np.split(ranges(table, starts[self.symbols], lengths[self.symbols]), np.cumsum(self.sizes)[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -204,26 +222,66 @@ def table_of(tokenizer: str) -> tuple[WordTable, int]:
     return WordTable(encode, np.uint32, WORDS_KEPT), max(coder.get_vocab_size(with_added_tokens=True), END_ID + 1)
 
 
+def words_in(texts: pa.Array) -> pa.Array:
+    """Per text its words between ASCII white space (an empty one before or after such space), in bytes as they are."""
+    return pc.ascii_split_whitespace(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type) else pa.string()))
+
+
+@lru_cache(maxsize=1)
+def keys_of(tokenizer: str) -> Callable[[pa.Array], list[bytes]]:
+    """How distinct words become keys of the table: in lower case where the tokenizer makes no difference.
+
+    That is so for ASCII words if its normalizer lower-cases and else only composes characters and replaces
+    white space, save for words that hold an added token, which may be sought in the text as given.
+    """
+    rules = json.loads(tokenizer)
+    steps = rules.get("normalizer") or {}
+    steps = steps.get("normalizers", []) if steps.get("type") == "Sequence" else [steps]
+    kinds = {"Replace-space" if s.get("type") == "Replace" and s.get("pattern") == {"Regex": "\\s+"} else s.get("type") for s in steps}
+    added = [t["content"].lower() for t in rules.get("added_tokens") or []]
+    if "Lowercase" not in kinds or kinds - {"Lowercase", "NFC", "NFD", "NFKC", "NFKD", "Replace-space"} or len(added) > 16 or not all(map(str.isascii, added)):
+        return _bytes
+
+    def keys(words: pa.Array) -> list[bytes]:
+        lower = pc.ascii_lower(words)
+        alike = pc.string_is_ascii(words)
+        for content in added:
+            alike = pc.and_not(alike, pc.match_substring(lower, content))
+        return _bytes(pc.if_else(alike, lower, words))
+
+    return keys
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    """The words (none null) as bytes; cut from one buffer, which is faster than to_pylist."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, kind)[words.offset : words.offset + len(words) + 1].tolist() if len(words) else [0]
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in pairwise(ends)]
+
+
 def write_shards(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> None:
     """Encode all texts with a tokenizer (its JSON text) and write them in ascending id order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, first_new = table_of(tokenizer)
-        end = np.array([END_ID], np.uint32)
-        ids, texts, total = [], [], 0
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-            for part in runs(sizes, 1 << 22):
-                names, words = batch.column(0)[part].to_pylist(), [(t or b"").split() for t in batch.column(1)[part].to_pylist()]
-                for name, found in zip(names, table.lookup(words), strict=True):
-                    ids.append(name)
-                    texts.append(np.concatenate([found, end]))
-                    total += len(found) + 1
-                    if total >= shard_ids:
-                        yield pa.RecordBatch.from_arrays([pa.array([pack(ids, texts, first_new)], pa.binary())], ["value"])
-                        ids, texts, total = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(ids, texts, first_new)], pa.binary())], ["value"])
+        with memory_returned():
+            (table, first_new), keys = table_of(tokenizer), keys_of(tokenizer)
+            end = np.array([END_ID], np.uint32)
+            ids, texts, total = [], [], 0
+            for batch in batches:
+                sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+                for part in runs(sizes, CODED_BYTES):
+                    names, words = batch.column(0)[part].to_pylist(), words_in(batch.column(1)[part])
+                    for name, found in zip(names, table.lookup(words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy(), keys), strict=True):
+                        ids.append(name)
+                        texts.append(np.concatenate([found, end]))
+                        total += len(found) + 1
+                        if total >= shard_ids:
+                            yield pa.RecordBatch.from_arrays([pa.array([pack(ids, texts, first_new)], pa.binary())], ["value"])
+                            ids, texts, total = [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array([pack(ids, texts, first_new)], pa.binary())], ["value"])
 
     text = F.col(text_col).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"))

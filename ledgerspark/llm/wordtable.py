@@ -6,7 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
-from itertools import chain, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +36,29 @@ def memory_returned() -> Iterator[None]:
 
 
 class WordTable:
-    """Looks words up; `encode` gives the ids of new ones, end to end, and how many each has."""
+    """Looks words up; `encode` gives the ids of new ones, end to end, and how many each has.
+
+    When there is no room for new words, those that were looked up again since the last time stay
+    (half the table at most), as they are the ones that come again.
+    """
 
     def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = MOST_WORDS):
         self.encode, self.dtype, self.most, self.seen = encode, dtype, most, {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.seen.clear()
-        self.flat, self.starts, self.lengths = np.empty(0, self.dtype), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._hold({}, np.empty(0, dtype), np.empty(0, np.int64))
+
+    def _hold(self, seen: dict, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.seen, self.flat, self.lengths, self.starts = seen, flat, lengths, np.cumsum(lengths) - lengths
+        self.again = np.zeros(len(lengths), bool)
+
+    def _make_room(self, wanted: list) -> None:
+        """Forgets words until `wanted` go in beside the others (all are forgotten if they are too many for that)."""
+        stay = np.flatnonzero(self.again)[: self.most // 2]
+        names = list(compress(self.seen, self.again.tolist()))[: len(stay)]
+        self.seen.clear()  # before the next table is built, so that there are never two
+        kept = dict(zip(names, range(len(stay)), strict=True))
+        if len(kept) + sum(w not in kept for w in wanted) > self.most:
+            kept, stay = {}, stay[:0]
+        self._hold(kept, ranges(self.flat, self.starts[stay], self.lengths[stay]), self.lengths[stay])
 
     def _add(self, words: list) -> None:
         flat, lengths = self.encode(words)
@@ -52,22 +66,31 @@ class WordTable:
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat.astype(self.dtype)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
 
-    def lookup(self, texts: list[list]) -> list[np.ndarray]:
-        """Per text the arrays of its words, joined."""
-        words = list(chain.from_iterable(texts))
+    def _places(self, words: list) -> np.ndarray:
         at = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = {words[i] for i in missing.tolist()}
-            if len(self.seen) + len(new) > self.most:
-                self._clear()
-                new, missing = set(words), np.arange(len(words))
-            self._add(sorted(new))
-            at[missing] = np.fromiter((self.seen[words[i]] for i in missing.tolist()), np.int64, len(missing))
+        self.again[at[at >= 0]] = True
+        if (at < 0).any():
+            if len(self.seen) + np.count_nonzero(at < 0) > self.most:
+                self._make_room(words)
+                at = np.fromiter(map(self.seen.get, words, repeat(-1)), np.int64, len(words))
+            missing = np.flatnonzero(at < 0).tolist()
+            if missing:
+                self._add(list(dict.fromkeys(words[i] for i in missing)))
+                at[missing] = [self.seen[words[i]] for i in missing]
+        return at
+
+    def lookup(self, words: pa.Array, sizes: np.ndarray, named: Callable[[pa.Array], list] = pa.Array.to_pylist) -> list[np.ndarray]:
+        """Per text the arrays of its words, joined; `sizes`: how many of `words` each text has.
+
+        Equal words are found by Arrow, so that only the distinct ones become Python's; `named` makes keys of the table of these.
+        """
+        coded = words.dictionary_encode()
+        at = self._places(named(coded.dictionary))[coded.indices.to_numpy()]
         lengths = self.lengths[at]
         flat = ranges(self.flat, self.starts[at], lengths)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *map(len, texts)])]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(sizes)])]
         return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
