@@ -10,7 +10,8 @@ document's language is the one with the most, its score that share.
 Learning takes at most PASSAGES passages of PASSAGE_WORDS words per language, from documents
 chosen by a hash of their id; both are parameters.  A passage of more than PASSAGE_CHARS
 characters, as of unspaced words, is cut to so many at a hashed place.  Labelling covers whole texts.  Documents
-of one batch advance together, longest first; each distinct word is scored once per task.
+of about PART_CHARS characters advance together, longest first; each distinct word of theirs is scored once.
+Words are ranges of bytes all along: numpy finds their borders and hashes their features, Arrow finds equal ones.
 
 Defined cases: a null text or one without a letter is `und` with score 0; texts of any length
 are labelled whole; ties go to the smaller language name; without any labelled document all
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerspark.llm.common import held_out, stage, text_of, words_of
-from ledgerspark.llm.wordtable import MOST_WORDS, memory_returned, runs
+from ledgerspark.llm.wordtable import memory_returned, ranges, runs
 
 PASSAGES, PASSAGE_WORDS, PASSAGE_CHARS, SEED, STEPS = 400, 80, 3200, 11, 60
 DIMENSIONS = 1 << 16
 #: Rows whose texts are Python objects at a time.
 LABELLED_ROWS = 2000
+#: Characters of the texts that advance together (or one longer text), and the most words whose features are held at a time.
+PART_CHARS, SCORED_WORDS = 1 << 20, 8192
 #: The most bytes of a word; longer ones are cut between characters.
 PIECE = 40
 UNKNOWN = "und"
@@ -44,66 +47,131 @@ UNKNOWN = "und"
 _DROPPED = bytes(c for c in range(128) if not chr(c).isalpha() and c not in b" \t\n\x0b\x0c\r")
 
 
-def _pieces(word: bytes) -> Iterator[bytes]:
-    at = 0
-    while len(word) - at > PIECE:
-        end = at + PIECE
-        while word[end] & 0xC0 == 0x80:
-            end -= 1
-        yield word[at:end]
-        at = end
-    yield word[at:]
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: What a byte does to a CRC-32.
+_CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+_CRC ^= _CRC[0]
+
+
+def _cleaned(text: str | None) -> bytes:
+    """Lower-cased, without ASCII punctuation and digits."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED)
+
+
+def _borders(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a cleaned text; pieces of a long word follow each other without a gap."""
+    spaces = np.concatenate([[True], _IS_SPACE[np.frombuffer(data, np.uint8)], [True]])
+    starts, ends = np.flatnonzero(spaces[:-1] & ~spaces[1:]), np.flatnonzero(~spaces[:-1] & spaces[1:])
+    cuts = []
+    for w in np.flatnonzero(ends - starts > PIECE).tolist():
+        at, last = int(starts[w]), int(ends[w])
+        while last - at > PIECE:
+            at += PIECE
+            while data[at] & 0xC0 == 0x80:
+                at -= 1
+            cuts.append(at)
+    return (np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))) if cuts else (starts, ends)
 
 
 def word_list(text: str | None) -> list[bytes]:
     """Lower-cased words without ASCII punctuation and digits, long ones in pieces."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED).split()
-    return words if max(map(len, words), default=0) <= PIECE else [p for w in words for p in _pieces(w)]
+    data = _cleaned(text)
+    starts, ends = _borders(data)
+    return [data[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
 
+def _hashed(state: np.ndarray | int, data: np.ndarray) -> np.ndarray:
+    """CRC-32 states after one more byte each."""
+    return _CRC[(state ^ data) & 0xFF] ^ (state >> 8)
 
-def feature_ids(word: bytes) -> list[int]:
-    """Hashed features: word, affixes of one to four bytes, n-grams of two and three with borders."""
-    n = len(word)
-    found = [b"w" + word]
-    for k in range(1, min(4, n) + 1):
-        found += (b"p" + word[:k], b"s" + word[-k:])
-    edged = b"^" + word + b"$"
-    found += [edged[i : i + 2] for i in range(len(edged) - 1)] + [edged[i : i + 3] for i in range(len(edged) - 2)]
-    return [zlib.crc32(f) % DIMENSIONS for f in found]
+
+def feature_ids(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, end to end, and how many each has: word, affixes of one to four bytes, n-grams of two and three with borders.
+
+    A feature is hashed by CRC-32, with a first byte that tells words, prefixes, suffixes and n-grams apart.
+    """
+    affixes = np.minimum(lengths, 4)
+    sizes = 2 + 2 * affixes + 2 * lengths
+    at = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    none = np.uint32(0xFFFFFFFF)
+    word, prefix, suffix = (_hashed(none, np.uint8(c)) for c in b"wps")
+
+    order = np.argsort(-lengths, kind="stable")  # those that have a byte at a step are the first ones
+    first = starts[order]
+    states = np.full(len(lengths), word)
+    for t, n in enumerate(np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right").tolist()):
+        states[:n] = _hashed(states[:n], data[first[:n] + t])
+    out[at[order]] = states
+    for k in range(1, 5):
+        own = np.flatnonzero(lengths >= k)
+        heads, tails = np.full(len(own), prefix), np.full(len(own), suffix)
+        for t in range(k):
+            heads = _hashed(heads, data[starts[own] + t])
+            tails = _hashed(tails, data[starts[own] + lengths[own] - k + t])
+        out[at[own] + 2 * k - 1], out[at[own] + 2 * k] = heads, tails
+
+    edges = lengths + 2
+    begin = np.cumsum(edges) - edges
+    edged = np.empty(int(edges.sum()), np.uint8)
+    inner = np.ones(len(edged), bool)
+    inner[begin] = inner[begin + edges - 1] = False
+    edged[begin], edged[begin + edges - 1], edged[inner] = ord("^"), ord("$"), ranges(data, starts, lengths)
+    two = _hashed(_hashed(none, edged[:-1]), edged[1:])
+    three = _hashed(two[:-1], edged[2:])
+    grams = at + 1 + 2 * affixes
+    for found, from_, count in ((two, grams, lengths + 1), (three, grams + lengths + 1, lengths)):
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        out[np.repeat(from_, count) + place] = found[np.repeat(begin, count) + place]
+    return (out ^ none) % DIMENSIONS, sizes
+
+
+def _listed(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts and lengths of the words of an array of large binaries."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), ends[:-1], np.diff(ends)
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def forward_backward(emit: np.ndarray, start: np.ndarray, move: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(label probabilities of all words, expected transitions summed over sequences).
+def forward_backward(emit: np.ndarray, start: np.ndarray, move: np.ndarray, lengths: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(label probabilities of all words, expected transitions summed over sequences; zeros unless `moves`).
 
     `emit` holds positive factors, words of sequence after sequence; sequences come longest
     first, so those still running at a step are a prefix.
     """
     labels = emit.shape[1]
-    at = np.cumsum(lengths) - lengths
-    running = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right") if len(lengths) else np.empty(0, int)
-    alpha = np.empty_like(emit)
+    moved = np.zeros((labels, labels))
+    if not len(lengths):
+        return np.empty_like(emit), moved
+    running = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
+    # words of one step lie side by side from here on
+    ends = np.cumsum(running)
+    steps = list(zip((ends - running).tolist(), ends.tolist(), running.tolist(), strict=True))
+    step = np.repeat(np.arange(len(running)), running)
+    order = (np.cumsum(lengths) - lengths)[np.arange(len(emit)) - (ends - running)[step]] + step
+    emit = emit[order]
+    alpha, beta = np.empty_like(emit), np.empty_like(emit)
     before = None
-    for t, n in enumerate(running):
-        here = at[:n] + t
-        before = _normal(emit[here] * (start if t == 0 else before[:n] @ move))
-        alpha[here] = before
-    gamma, moved = np.empty_like(emit), np.zeros((labels, labels))
-    beta = np.ones((len(lengths), labels))
-    for t in range(len(running) - 1, -1, -1):
-        n = running[t]
-        here = at[:n] + t
-        both = alpha[here] * beta[:n]
-        gamma[here] = _normal(both)
-        onward = emit[here] * beta[:n]
-        if t:
-            prior = alpha[here - 1]
+    for i, j, n in steps:
+        here = emit[i:j] * (start if before is None else before[:n] @ move)
+        before = np.divide(here, here.sum(axis=-1, keepdims=True), out=alpha[i:j])
+    after = np.ones((len(lengths), labels))
+    for t in range(len(steps) - 1, -1, -1):
+        i, j, n = steps[t]
+        beta[i:j] = after[:n]
+        onward = emit[i:j] * after[:n]
+        if moves and t:
+            prior = alpha[steps[t - 1][0] : steps[t - 1][0] + n]
             pair = prior[:, :, None] * move * onward[:, None, :]
             moved += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        beta[:n] = _normal(onward @ move.T)
+        here = onward @ move.T
+        np.divide(here, here.sum(axis=-1, keepdims=True), out=after[:n])
+    gamma = np.empty_like(emit)
+    gamma[order] = _normal(alpha * beta)
     return gamma, moved
 
 
@@ -123,9 +191,10 @@ class Crf:
         lengths = np.array([len(s) for s in sequences])
         known = {w: i for i, w in enumerate(sorted({w for s in sequences for w in s}))}
         types = np.array([known[w] for s in sequences for w in s])
-        listed = [feature_ids(w) for w in known]
-        width = max(map(len, listed))
-        used = np.array([f + [DIMENSIONS] * (width - len(f)) for f in listed])
+        flat, sizes = feature_ids(*_listed(pa.array(list(known), pa.large_binary())))
+        width = int(sizes.max())
+        used = np.full((len(known), width), DIMENSIONS)
+        used[np.arange(width) < sizes[:, None]] = flat
         y = np.concatenate(labels)
         k, total = len(self.names), len(y)
         truth = np.zeros((total, k))
@@ -153,43 +222,45 @@ class Crf:
                 p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def emissions(self, words: list[bytes]) -> np.ndarray:
-        listed = [feature_ids(w) for w in words]
-        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-        flat = np.fromiter((f for fs in listed for f in fs), np.int64, int(sizes.sum()))
-        scores = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes)
-        return np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))
+    def emissions(self, words: pa.Array) -> np.ndarray:
+        """A row of positive factors per word, the largest of them 1."""
+        data, starts, lengths = _listed(words)
+        out = np.empty((len(words), len(self.names)))
+        for i in range(0, len(words), SCORED_WORDS):
+            part = slice(i, i + SCORED_WORDS)
+            flat, sizes = feature_ids(data, starts[part], lengths[part])
+            scores = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes)
+            out[part] = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -30))
+        return out
 
 
 class Labeller:
-    """Labels whole texts; a word's emission is kept while there is room."""
+    """Labels whole texts; a word's emission is found once for all texts that advance together."""
 
     def __init__(self, model: Crf):
-        self.model, self.seen = model, {}
-        self.table = np.empty((0, len(model.names)))
+        self.model = model
         self.start, self.move = np.exp(model.start), np.exp(model.move)
 
-    def _at(self, texts: list[list[bytes]]) -> np.ndarray:
-        wanted = set().union(*texts)
-        new = wanted - self.seen.keys()
-        if len(self.seen) + len(new) > MOST_WORDS:
-            self.seen.clear()
-            self.table, new = self.table[:0], wanted
-        if new:
-            new = sorted(new)
-            self.seen.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            made = [self.model.emissions(new[i : i + 8192]) for i in range(0, len(new), 8192)]
-            self.table = np.concatenate([self.table, *made])
-        return np.fromiter((self.seen[w] for ws in texts for w in ws), np.int64, sum(map(len, texts)))
-
-    def shares(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Expected share of each language among the words of each text (none empty)."""
-        order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
-        ordered = [texts[i] for i in order]
-        lengths = np.array([len(t) for t in ordered])
-        at = self._at(ordered)
-        gamma, _ = forward_backward(self.table[at], self.start, self.move, lengths)
-        out = np.empty((len(texts), len(self.model.names)))
+    def shares(self, texts: list[bytes]) -> np.ndarray:
+        """Expected share of each language among the words of each cleaned text; zeros where it has none."""
+        joined = b" ".join(texts)
+        starts, ends = _borders(joined)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
+        out = np.zeros((len(texts), len(self.model.names)))
+        order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        lengths = counts[order]
+        if not len(order):
+            return out
+        # words of the texts in that order, as one array without the spaces
+        chosen = ranges(np.arange(len(starts)), (np.cumsum(counts) - counts)[order], lengths)
+        data = np.frombuffer(joined, np.uint8)
+        letters = data[~_IS_SPACE[data]]
+        offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        coded = words.dictionary_encode()
+        emit = self.model.emissions(coded.dictionary)[coded.indices.to_numpy()[chosen]]
+        gamma, _ = forward_backward(emit, self.start, self.move, lengths, moves=False)
         out[order] = np.add.reduceat(gamma, np.cumsum(lengths) - lengths) / lengths[:, None]
         return out
 
@@ -197,14 +268,11 @@ class Labeller:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         # texts of like length together: a step advances all texts of a part
         order = sorted((i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))), key=lambda i: -len(texts[i]))
-        for part in runs([len(texts[i]) for i in order], 1 << 20):
-            words = {i: w for i in order[part] if (w := word_list(texts[i]))}
-            if not words:
-                continue
-            shares = self.shares(list(words.values()))
-            best = shares.argmax(axis=1)
-            for i, b, s in zip(words, best, shares, strict=True):
-                names[i], scores[i] = self.model.names[b], min(1.0, float(s[b]))
+        for part in runs([len(texts[i]) for i in order], PART_CHARS):
+            shares = self.shares([_cleaned(texts[i]) for i in order[part]])
+            for i, b, s in zip(order[part], shares.argmax(axis=1).tolist(), shares.max(axis=1).tolist(), strict=True):
+                if s:
+                    names[i], scores[i] = self.model.names[b], min(1.0, s)
         return names, scores
 
 
