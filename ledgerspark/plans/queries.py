@@ -958,7 +958,8 @@ def _(spark, sf):
     files = statements.identify(_statement_files(spark, sf))
     rows = statements.bind_headers(statements.records(files)).where((F.col("section") == "Trades") & (F.col("row_type") == "Data"))
     names = files.select("file_id", F.substring("path", 6, 20).cast("long").alias("block"))
-    return rows.join(names, "file_id").groupBy("block").agg(F.count(F.lit(1)).alias("trades"))
+    counted = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("trades"))
+    return counted.join(names, "file_id").groupBy("block").agg(F.sum("trades").alias("trades"))
 
 
 @query("occurrence_ids", "", """

@@ -1,7 +1,7 @@
 """Statement files: ragged multi-section CSV text to raw rows bound to their headers.
 
 A file is one broker statement and is read whole; work is spread over files.
-Lines of a file stay together after one shuffle by file, which every later
+Records of a file stay together after one shuffle of its text, which every later
 per-file window reuses.
 """
 
@@ -58,26 +58,27 @@ def identify(files: DataFrame) -> DataFrame:
 def records(files: DataFrame) -> DataFrame:
     """(portfolio_id, file_id, line_no, fields): one row per CSV record, ragged and untrimmed.
 
-    A line starts a record when the quotes before it in the file are balanced;
-    lines inside a quoted field are joined back with a line feed.
+    A line starts a record when the quotes before it in the file are balanced; lines inside a
+    quoted field are joined back with a line feed.  A file is read once, however many rows carry
+    its id.  Lines are neither sorted nor grouped: a text is cut into numbered records as it is.
     """
     spread = files.select("portfolio_id", "file_id", "text").repartition("file_id")
-    lines = spread.select("portfolio_id", "file_id", F.posexplode(F.split(body(F.col("text")), NEWLINE)).alias("pos", "line"))
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    w = W.partitionBy("file_id").orderBy("pos")
-    before = F.coalesce(F.sum(quotes).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("first", F.when(before % 2 == 0, F.col("pos")))
-    lines = lines.withColumn("start", F.last("first", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    joined = lines.groupBy("file_id", "start").agg(
-        F.first("portfolio_id").alias("portfolio_id"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "\n").alias("record"),
+    once = spread.groupBy("file_id").agg(F.max("portfolio_id").alias("portfolio_id"), F.first("text", ignorenulls=True).alias("text"))
+    numbered = F.transform(F.split(body(F.col("text")), NEWLINE), lambda line, i: F.concat((i + 1).cast("string"), F.lit(":"), line))
+    # line feeds are the only line ends by now; those outside quotes become carriage returns
+    parts = F.transform(F.split(F.array_join(numbered, "\n"), '"'), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit("\n"), F.lit("\r"))).otherwise(p))
+    cut = once.select("portfolio_id", "file_id", F.explode(F.split(F.array_join(parts, '"'), "\r")).alias("line"))
+    rest = F.substring(F.col("line"), F.instr("line", ":") + 1, F.lit(2147483647))
+    joined = cut.select(
+        "portfolio_id", "file_id", F.substring_index("line", ":", 1).cast("int").alias("line_no"),
+        F.when(F.contains("line", F.lit("\n")), F.regexp_replace(rest, r"\n\d+:", "\n")).otherwise(rest).alias("record"),
     )
     raw = F.regexp_extract_all(F.concat(F.lit(","), F.col("record")), F.lit(FIELD), F.lit(1))
     fields = F.transform(
         raw, lambda f: F.when(F.contains(f, F.lit('"')), F.replace(F.regexp_replace(f, QUOTED, "$1"), F.lit('""'), F.lit('"'))).otherwise(f)
     )
     return joined.where(F.col("record") != "").select(
-        "portfolio_id", "file_id", (F.col("start") + 1).alias("line_no"), fields.alias("fields")
+        "portfolio_id", "file_id", "line_no", fields.alias("fields")
     )
 
 
@@ -174,10 +175,9 @@ def parse(files: DataFrame, shared: Callable[[DataFrame], DataFrame] = lambda ro
     `shared` may store the bound rows, which heads and warnings are read from as well.
     """
     known = identify(files)
-    once = known.groupBy("portfolio_id", "file_id").agg(F.min_by("text", "path").alias("text"))
     named = known.withColumn("bytes", F.octet_length("text")).groupBy("portfolio_id", "file_id").agg(
         F.min("path").alias("path"), F.min_by("canonical_id", "path").alias("canonical_id"), F.min_by("bytes", "path").alias("bytes")
     )
-    rows = shared(bind_headers(records(once)))
+    rows = shared(bind_headers(records(known)))
     heads = file_headers(rows).join(named.select("file_id", "path", "canonical_id", "bytes"), "file_id")
     return Raw(heads, rows, structure_warnings(rows))
